@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import U64, flat, new_path, partitions
 
 MESSAGE = "shard int, chunk long, body binary"
-_message = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+ARROW_MESSAGE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
 
 
 class Chunk:
@@ -111,16 +111,19 @@ def messages(chunk: int, parts: Iterator[tuple[int, bytes]]) -> Iterator[pa.Reco
 
 
 def _batch(chunk: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int32()), pa.array([chunk] * len(held), pa.int64()), pa.array([b for _, b in held], pa.binary())], schema=_message)
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int32()), pa.array([chunk] * len(held), pa.int64()), pa.array([b for _, b in held], pa.binary())], schema=ARROW_MESSAGE)
 
 
-def solve(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Each shard's answers: answer gets the bodies of all chunks and returns one body for each, in the same order."""
+def solve(sent: DataFrame, answer: Callable[[list[bytes]], tuple[list[bytes], bytes | None]]) -> DataFrame:
+    """Each shard's answers: answer gets the bodies of all chunks and returns one body for each, in the same order, and
+    perhaps one more about the shard, which gets chunk -1."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["chunk"].to_numpy(), kind="stable")
-        bodies = table["body"].take(pa.array(order)).to_pylist()
-        return pa.table([table["shard"].take(pa.array(order)), table["chunk"].take(pa.array(order)), pa.array(answer(bodies), pa.binary())], schema=_message)
+        order = pa.array(np.argsort(table["chunk"].to_numpy(), kind="stable"))
+        bodies, about = answer(table["body"].take(order).to_pylist())
+        chunks = table["chunk"].take(order).to_pylist() + [-1] * (about is not None)
+        bodies = bodies + ([about] if about is not None else [])
+        return pa.table([pa.array([table["shard"][0].as_py()] * len(chunks), pa.int32()), pa.array(chunks, pa.int64()), pa.array(bodies, pa.binary())], schema=ARROW_MESSAGE)
 
     return sent.groupBy("shard").applyInArrow(run, MESSAGE)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import knn, minhash, mixing, packing, quality, substring, token_counts, toxicity, warc
+from . import knn, minhash, mixing, ngram, packing, quality, substring, token_counts, toxicity, warc
 from .common import new_path
 
 BPE = "byte_bpe_50k.json"
@@ -32,6 +32,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, out).drop("url")
 
 
+def op3_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.crc32(F.col("doc_id").cast("string")) % 7
+    out = ngram.score(table(spark, sf_dir, "documents"), "doc_id", "text", rest != 2)
+    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 7 == 2, F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), 2048)
 
@@ -65,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_warc, op4_packing, op5_toxicity, op6_knn, op7_substring, op8_minhash, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_warc, op3_ngram, op4_packing, op5_toxicity, op6_knn, op7_substring, op8_minhash, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

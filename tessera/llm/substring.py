@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, partitions, span_hash, stored, windows, words
-from .exchange import Chunk, Chunks, freed, shard_bounds, solve
+from .exchange import ARROW_MESSAGE, MESSAGE, Chunk, Chunks, freed, messages, shard_bounds, solve
 
 GRAM, BINS = 8, 4096
 #: Prefix lengths in words, and how many times the group size a first word's suffixes may be for each.
@@ -104,7 +104,7 @@ def _suffix_rows(c: Chunk, size: int, depth: np.ndarray, answers: list[tuple[int
     return s, at, ids, shard[row], a[row], b[row], low, number
 
 
-def _bit_answer(bodies: list[bytes], width: int, rule) -> list[bytes]:
+def _bit_answer(bodies: list[bytes], width: int, rule) -> tuple[list[bytes], None]:
     parts = [np.frombuffer(x, np.int64).reshape(width, -1) for x in bodies]
     every = np.concatenate(parts, 1)
     got = rule(every)
@@ -112,7 +112,7 @@ def _bit_answer(bodies: list[bytes], width: int, rule) -> list[bytes]:
     for p in parts:
         out.append(np.packbits(got[i : i + p.shape[1]]).tobytes())
         i += p.shape[1]
-    return out
+    return out, None
 
 
 def _repeats(every: np.ndarray) -> np.ndarray:
@@ -186,8 +186,6 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
     freed(spark)
 
     def ask_suffixes(c: Chunk, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        from .exchange import messages
-
         _, _, _, shard, a, b, low, _ = _suffix_rows(c, size, depth, answers, shards)
         bounds = np.searchsorted(shard, np.arange(shards + 1))
 
@@ -199,9 +197,7 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
 
         yield from messages(c.number, parts())
 
-    from .exchange import MESSAGE, _message
-
-    leaves = chunks.receive(again, ask_suffixes, MESSAGE, _message)
+    leaves = chunks.receive(again, ask_suffixes, MESSAGE, ARROW_MESSAGE)
     nodes = solve(leaves, lambda bodies: _bit_answer(bodies, 3, _deep_nodes))
     both = again.select((F.col("shard") * 2).alias("shard"), "chunk", "body").union(nodes.select((F.col("shard") * 2 + 1).alias("shard"), "chunk", "body"))
     names = ["id", "n_words", "n_removed", "kept_sha256", "n_spans", *["text"] * with_text]
