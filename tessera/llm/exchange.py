@@ -25,18 +25,19 @@ ARROW_MESSAGE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("body"
 
 
 class Chunk:
-    """One chunk's documents: ids, flags, bytes and offsets."""
+    """One chunk's documents: ids, flags, bytes and offsets, and further columns as strings."""
 
-    def __init__(self, number: int, ids: np.ndarray, flags: np.ndarray, texts: pa.Array):
-        self.number, self.ids, self.flags = number, ids, flags
+    def __init__(self, number: int, ids: np.ndarray, flags: np.ndarray, texts: pa.Array, extra: list[pa.Array]):
+        self.number, self.ids, self.flags, self.extra = number, ids, flags, extra
         self.buf, self.offs = flat(texts)
 
 
 class Chunks:
-    """Documents (id long, text, flag boolean) in chunks of about size bytes, in the shared folder."""
+    """Documents (id long, text, flag boolean, and extra columns as strings) in chunks of about size bytes, in the shared folder."""
 
-    def __init__(self, docs: DataFrame, size: int = 8 << 20):
+    def __init__(self, docs: DataFrame, size: int = 8 << 20, extra: list[str] | None = None):
         self.spark = spark = docs.sparkSession
+        more = [f"x{i}" for i in range(len(extra or []))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task, k = TaskContext.get().partitionId() << 32, 0
@@ -48,7 +49,7 @@ class Chunks:
                 n = pa.array([0, len(t)], pa.int32())
                 k += 1
                 one = lambda c: pa.ListArray.from_arrays(n, t[c].combine_chunks())
-                return pa.RecordBatch.from_arrays([pa.array([task + k - 1], pa.int64()), one("id"), one("flag"), one("text")], names=["chunk", "ids", "flags", "texts"])
+                return pa.RecordBatch.from_arrays([pa.array([task + k - 1], pa.int64()), one("id"), one("flag"), one("text"), *map(one, more)], names=["chunk", "ids", "flags", "texts", *more])
 
             for b in batches:
                 _, offs = flat(b.column(b.schema.get_field_index("text")))
@@ -65,7 +66,8 @@ class Chunks:
             if held:
                 yield row()
 
-        chunked = docs.select("id", "flag", F.col("text").cast("string").alias("text")).mapInArrow(run, "chunk long, ids array<long>, flags array<boolean>, texts array<string>")
+        chunked = docs.select("id", "flag", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(n) for c, n in zip(extra or [], more)])
+        chunked = chunked.mapInArrow(run, "chunk long, ids array<long>, flags array<boolean>, texts array<string>" + "".join(f", {n} array<string>" for n in more))
         name = f"chunks_{uuid.uuid4().hex}"
         chunked.write.option("path", new_path(spark, "chunks")).option("compression", "zstd").bucketBy(partitions(spark), "chunk").saveAsTable(name)
         self.table = spark.table(name)
@@ -95,7 +97,8 @@ class Chunks:
 
 def chunk_at(b: pa.RecordBatch, i: int) -> Chunk:
     ids, flags, texts = (b.column(b.schema.get_field_index(c)).slice(i, 1).flatten() for c in ("ids", "flags", "texts"))
-    return Chunk(b.column(b.schema.get_field_index("chunk"))[i].as_py(), ids.to_numpy(), flags.to_numpy(zero_copy_only=False).astype(bool), texts)
+    extra = [b.column(k).slice(i, 1).flatten() for k, n in enumerate(b.schema.names) if n[0] == "x"]
+    return Chunk(b.column(b.schema.get_field_index("chunk"))[i].as_py(), ids.to_numpy(), flags.to_numpy(zero_copy_only=False).astype(bool), texts, extra)
 
 
 def messages(chunk: int, parts: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:

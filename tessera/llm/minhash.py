@@ -212,6 +212,27 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85
     return out.select("id", F.col("n").alias("n_shingles"), of.alias("component_id"), (F.col("id") == of).alias("kept"))
 
 
+def one_of_each(df: DataFrame, id_col: str, text_col: str, percent: int = 85, k: int = 5) -> DataFrame:
+    """The rows of df less near duplicates: of each component the document with the smallest id stays, with all columns.
+
+    Rows with a null id stay. Where rows repeat an id, one row of each component stays: the smallest by its text."""
+    from pyspark.sql import Window as W
+
+    found = stored(near_duplicates(df, id_col, text_col, percent, k), "near")
+    gone = stored(found.where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct(), "gone")
+    again = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    again = stored(again, "again")
+    left = df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+    if again.isEmpty():
+        return left
+    # An id that some row loses and another keeps: few, as ids are meant to be unique. Texts of such rows are compared whole.
+    kept = stored(found.where("kept").select(F.col("id").alias("__kept")).distinct(), "kept")
+    mine = df.join(again, df[id_col] == F.col("__again"), "left_semi").join(kept, df[id_col] == F.col("__kept"), "left_semi")
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).isNull(), text_col))
+    single = mine.withColumn("__row", first).where("__row = 1").drop("__row")
+    return left.join(again, df[id_col] == F.col("__again"), "left_anti").union(single)
+
+
 def set_rows(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int) -> DataFrame:
     """(node, n, set) for the nodes of wanted (node, low): made from the text of the node's document, sorted, as bytes."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")

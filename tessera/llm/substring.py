@@ -138,19 +138,21 @@ def _deep_nodes(every: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int = 1 << 20, with_text: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int = 1 << 20, with_text: bool = False, extra: list[str] | None = None) -> DataFrame:
     """Removes each word that lies in a window of size words whose sequence also starts in a document with a smaller id.
 
     Returns id (long), n_words, n_removed, kept_sha256 (of the kept words joined by one space), n_spans (removed stretches)
-    and, if with_text, text. Windows are judged on the input. Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A null text has no
+    and, if with_text, text (as it was if nothing is removed, else the kept words joined by one space) and the columns of
+    extra as strings. Windows are judged on the input. Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A null text has no
     words. Rows that repeat an id are no smaller than each other, so they do not remove each other's words; a row with a
     null id counts as one with the greatest possible id. An empty table gives no rows.
 
     group bounds the suffixes of one prefix group; first words with more get longer prefixes."""
     spark = df.sparkSession
     none = np.iinfo(np.int64).max
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("flag"))
-    chunks = Chunks(docs)
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("flag"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(extra or [])])
+    chunks = Chunks(docs, extra=[f"e{i}" for i in range(len(extra or []))])
+    further = ["text", *(extra or [])] if with_text else []
     shards = partitions(spark)
 
     def ask_anchors(c: Chunk) -> Iterator[tuple[int, bytes]]:
@@ -200,8 +202,8 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
     leaves = chunks.receive(again, ask_suffixes, MESSAGE, ARROW_MESSAGE)
     nodes = solve(leaves, lambda bodies: _bit_answer(bodies, 3, _deep_nodes))
     both = again.select((F.col("shard") * 2).alias("shard"), "chunk", "body").union(nodes.select((F.col("shard") * 2 + 1).alias("shard"), "chunk", "body"))
-    names = ["id", "n_words", "n_removed", "kept_sha256", "n_spans", *["text"] * with_text]
-    arrow = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64()), *[("text", pa.string())] * with_text])
+    names = ["id", "n_words", "n_removed", "kept_sha256", "n_spans", *further]
+    arrow = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64()), *[(c, pa.string()) for c in further]])
 
     def cut(c: Chunk, got: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         s, at, ids, shard, _, _, low, number = _suffix_rows(c, size, depth, [(k // 2, b) for k, b in got if k % 2 == 0], shards)
@@ -230,8 +232,10 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
             texts.append(b" ".join([raw[x:y] for x, y in zip(s.start[keep].tolist(), s.end[keep].tolist())]))
         out = [pa.array(c.ids, pa.int64()), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(spans, pa.int64())]
         if with_text:
-            out.append(pa.array([t.decode() for t in texts], pa.string()))
+            whole = [raw[a:b] for a, b in zip(c.offs[:-1].tolist(), c.offs[1:].tolist())]
+            out.append(pa.array([(t if k else w).decode() for t, w, k in zip(texts, whole, lost.tolist())], pa.string()))
+            out += c.extra
         yield pa.RecordBatch.from_arrays(out, schema=arrow)
 
-    schema = "id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", text string" * with_text
+    schema = "id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + "".join(f", `{x}` string" for x in further)
     return chunks.receive(both, cut, schema, arrow).withColumn("id", F.when(F.col("id") != none, F.col("id"))).select(*names)
