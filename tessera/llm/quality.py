@@ -116,6 +116,16 @@ class Text:
 
         return self._once("n_repeat_words", make)
 
+    @property
+    def n_stutter(self):
+        """Words that repeat the word before them."""
+
+        def make():
+            doc, h = self.words[2], self.hashes
+            return self.per_doc(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])])
+
+        return self._once("n_stutter", make)
+
     @property
     def n_stop(self):
         """Words that are stop words of one of four languages."""
@@ -170,9 +180,10 @@ def further_rules() -> list[Rule]:
     """Rules on whole texts, set so that plain prose passes by a wide margin."""
     return [
         Rule("symbols", lambda t: 100 * t.n_symbols > 10 * t.n_words),
-        Rule("dup_lines", lambda t: 100 * t.n_dup_lines > 30 * np.maximum(t.n_lines, 1)),
+        Rule("dup_lines", lambda t: (t.n_dup_lines >= 3) & (100 * t.n_dup_lines > 30 * t.n_lines)),
+        Rule("stutter", lambda t: 100 * t.n_stutter > 25 * t.n_words),
         Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 15 * t.n_words)),
-        Rule("letters", lambda t: 100 * t.n_alpha < 60 * t.per_byte(~SPACE[t.buf])),
+        Rule("letters", lambda t: 100 * t.n_alpha < 40 * t.per_byte(~SPACE[t.buf])),
         Rule("stop_words", lambda t: (t.n_words >= 50) & (100 * t.n_stop < t.n_words)),
     ]
 
