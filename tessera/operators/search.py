@@ -28,11 +28,15 @@ def bm25(docs: DataFrame, query: str, text_col: str = "content", stats: tuple[in
     length = F.lit(1 - B) + F.lit(B) * F.size("__t") / F.lit(mean or 1.0)
     parts = []
     for w, d in zip(terms, df):
-        tf = F.size(F.filter("__t", lambda x, w=w: x == w)).cast("double")
+        tf = F.size(F.filter("__t", _is(w))).cast("double")
         parts.append(F.log(F.lit(1 + (n - d + 0.5) / (d + 0.5))) * tf * (K1 + 1) / (tf + F.lit(K1) * length))
     return rows.withColumn("bm25", reduce(lambda a, b: a + b, parts)).drop("__t")
 
 
+def _is(word: str):
+    return lambda x: x == F.lit(word)
+
+
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, token, pos): the inverted index, where one is wanted stored."""
     return docs.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "token")).select(id_col, "token", "pos")
