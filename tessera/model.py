@@ -14,14 +14,25 @@ from .errors import EngineError, invalid
 KINDS = ("preference", "fact", "instruction", "context", "episodic")
 STATUSES = ("pending", "active", "deleted", "expired")
 
-MEMORIES = T.StructType.fromDDL(
+_TYPES = {
+    "STRING": T.StringType(), "BINARY": T.BinaryType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "FLOAT": T.FloatType(), "BOOLEAN": T.BooleanType(),
+    "ARRAY<FLOAT>": T.ArrayType(T.FloatType()), "MAP<STRING,STRING>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def schema(columns: str) -> T.StructType:
+    """A schema from "name TYPE, ..."; needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in columns.split(", "))])
+
+
+MEMORIES = schema(
     "id STRING, tenant_id STRING, namespace STRING, agent_id STRING, user_id STRING, kind STRING, content STRING, content_hash BINARY, "
     "embedding ARRAY<FLOAT>, embedding_model STRING, embedding_dims INT, importance FLOAT, created_at_ms BIGINT, updated_at_ms BIGINT, "
     "last_accessed_at_ms BIGINT, access_count BIGINT, expires_at_ms BIGINT, status STRING, revision BIGINT, metadata MAP<STRING,STRING>, "
     "source MAP<STRING,STRING>, enc_version INT"
 )
-OPERATIONS = T.StructType.fromDDL("tenant_id STRING, namespace STRING, operation_id STRING, memory_id STRING, kind STRING, payload_json STRING, state STRING, created_at_ms BIGINT, applied_at_ms BIGINT")
-HEALTH = T.StructType.fromDDL("active_memories BIGINT, tombstoned_memories BIGINT, pending_operations BIGINT, database_bytes BIGINT, journal_bytes BIGINT, index_healthy BOOLEAN, schema_version INT")
+OPERATIONS = schema("tenant_id STRING, namespace STRING, operation_id STRING, memory_id STRING, kind STRING, payload_json STRING, state STRING, created_at_ms BIGINT, applied_at_ms BIGINT")
+HEALTH = schema("active_memories BIGINT, tombstoned_memories BIGINT, pending_operations BIGINT, database_bytes BIGINT, journal_bytes BIGINT, index_healthy BOOLEAN, schema_version INT")
 SCHEMA_VERSION = 4
 
 
