@@ -243,12 +243,13 @@ def score(df: DataFrame, id_col: str, text_col: str, learn, orders: int = 2, pri
     """Scores all whole texts by a model learnt from the rows where learn (a Column of df) is true.
 
     Returns id (long), n_tokens, n_known, train_tokens, base_score and score: the model's log10 probability of the text's
-    lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` and of its end. A null text has only the end. Rows that repeat an id are
+    lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` and of its end. A null text has only the end; a null id stays null and its row is scored like any other. Rows that repeat an id are
     texts of their own. With nothing to learn from, every token is unknown. An empty table gives no rows. orders is the
     length of the longest n-gram; each order beyond the first is one more pass. prior is the weight m of shorter contexts.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("flag"))
+    none = np.iinfo(np.int64).max  # stands for a null id within the chunks
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("flag"))
     chunks, shards, passes = Chunks(docs), partitions(spark), orders
     answers = stored(solve(chunks.send(lambda c: _ask_words(c, shards)), _count_words), "word-counts")
     about = [struct.unpack("<qq", r["body"]) for r in answers.where("chunk = -1").select("body").collect()]  # one row a shard
@@ -278,10 +279,11 @@ def score(df: DataFrame, id_col: str, text_col: str, learn, orders: int = 2, pri
         total = lambda x: np.bincount(doc, x, n) if n else np.zeros(0)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(c.ids, pa.int64(), from_pandas=False), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(total(r.known > 0).astype(np.int64)),
+                pa.array(c.ids, pa.int64()), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(total(r.known > 0).astype(np.int64)),
                 pa.array(np.full(n, tokens, np.int64)), pa.array(total(np.log10(r.base))), pa.array(total(np.log10(r.p))),
             ],
             schema=arrow,
         )
 
-    return chunks.receive(known, add_up, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double", arrow)
+    out = chunks.receive(known, add_up, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double", arrow)
+    return out.withColumn("id", F.when(F.col("id") != none, F.col("id")))
