@@ -71,7 +71,9 @@ class MemoryStore:
         names = self.manifest[kind]
         if not names:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
+        kinds = [[n for n in names if n.startswith("base-")], [n for n in names if not n.startswith("base-")]]  # a base has partition folders
+        parts = [self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in k]).select(*[f.name for f in schema]) for k in kinds if k]
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         if len(names) == 1 and names[0].startswith("base-"):
             return rows  # one version of each row: no shuffle
         rest = [f.name for f in schema if f.name not in key]
