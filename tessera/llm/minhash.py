@@ -6,6 +6,7 @@ places, and is shifted circularly by k for coordinate k: h_k = min over shingles
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from .common import LOWER, U64, each_slice, mix, span_hash, stored, windows, wor
 #: Size of the universe (a power of two), bands and rows a band. At a similarity of 0.85 a pair shares no band with
 #: probability (1 - 0.85^5)^28 = 7e-8.
 PLACES, BANDS, ROWS = 1 << 18, 28, 5
+#: Rows of a bucket that are compared with each other in one task.
+BLOCK = 2048
 _rank: dict[int, np.ndarray] = {}
 
 
@@ -80,7 +83,8 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def described(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
-    """id, n (set size), f1 and f2 (fingerprint of the set), and bands, the keys as bytes; rows with a null id are left out."""
+    """id, n (set size), f1 and f2 (fingerprint of the set), bands (the keys as bytes) and sig (a byte of each coordinate);
+    rows with a null id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in each_slice(batches, "t", 2 << 20):
@@ -88,10 +92,63 @@ def described(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFram
             n = np.diff(at)
             sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(key + U64(s)))]) for s in (3, 5)]
             f1, f2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-            bands = np.ascontiguousarray(band_keys(signatures(key, at)).T)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array([r.tobytes() if m else None for r, m in zip(bands, n)], pa.binary())], names=["id", "n", "f1", "f2", "bands"])
+            sig = signatures(key, at)
+            packed = [np.ascontiguousarray(x.T) for x in (band_keys(sig), (sig & 255).astype(np.uint8))]
+            packed = [pa.array([r.tobytes() if m else None for r, m in zip(x, n)], pa.binary()) for x in packed]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), *packed], names=["id", "n", "f1", "f2", "bands", "sig"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null").mapInArrow(run, "id long, n long, f1 long, f2 long, bands binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null").mapInArrow(run, "id long, n long, f1 long, f2 long, bands binary, sig binary")
+
+
+def least_agreement(percent: int) -> int:
+    """Coordinates in which a pair at the threshold agrees at least, but for six standard deviations."""
+    k, p = BANDS * ROWS, percent / 100
+    return max(0, math.floor(k * p - 6 * math.sqrt(k * p * (1 - p))))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough to be worth their full sets."""
+    s = nodes.select("node", "sig")
+    both = pairs.join(s.withColumnsRenamed({"node": "na", "sig": "sa"}), F.col("a") == F.col("na")).select("a", "b", "sa")
+    both = both.join(s.withColumnsRenamed({"node": "nb", "sig": "sb"}), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least)) if b.num_rows else b.select(["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, n, root, sig, m) that share a key, differ in root, and agree enough in size and
+    signature. m is the key's number of rows: a larger bucket is cut into blocks, and each pair of blocks is one group.
+    Only pairs that pass leave the task."""
+    least = least_agreement(percent)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        node, n, root, block = (t[c].to_numpy() for c in ("node", "n", "root", "block"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
+        order = np.argsort(block, kind="stable")
+        node, n, root, block, sig = node[order], n[order], root[order], block[order], sig[order]
+        half = int(np.searchsorted(block, j)) if i < j else 0
+        a, b = [], []
+        for x in range(half if i < j else len(node)):
+            lo = half if i < j else x + 1
+            ok = (root[lo:] != root[x]) & (100 * np.minimum(n[lo:], n[x]) >= percent * np.maximum(n[lo:], n[x]))
+            at = np.flatnonzero(ok) + lo
+            at = at[(sig[at] == sig[x]).sum(1) >= least]
+            a.append(np.full(len(at), node[x]))
+            b.append(node[at])
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return cut.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def unpacked_bands(sets: DataFrame) -> DataFrame:
@@ -154,7 +211,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85, k: int = 5, hub_rounds: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85, k: int = 5, hub_rounds: int = 2) -> DataFrame:
     """Components of documents whose k-word shingle sets have 100 * intersection >= percent * union.
 
     Returns id (long), n_shingles, component_id (the smallest id reachable) and kept (id = component_id). A document
@@ -164,10 +221,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85
     Documents with equal sets are one node. Nodes that share a band are candidates. A bucket does not emit all its pairs:
     each round verifies its nodes against one hub of the bucket on full sets, links are joined into components, and only
     buckets that still span components go on with another hub. What is then left of pairs between components within a
-    bucket is verified in full, so no candidate link is lost."""
+    bucket is compared in blocks, so no candidate link is lost. Before full sets move, a pair must agree in as many
+    coordinates as one at the threshold does, less six standard deviations."""
     docs = stored(described(df, id_col, text_col, k), "minhash")
     full = docs.where("n > 0")
-    nodes = stored(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("f1", "f2", "n")), "nodes")
+    nodes = stored(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.xxhash64("f1", "f2", "n")), "nodes")
     bands = stored(unpacked_bands(nodes), "bands")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k2"))
     bands = stored(bands.join(shared, F.col("key") == F.col("k2"), "left_semi"), "bands")
@@ -178,15 +236,16 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85
     for r in range(hub_rounds + 1):
         rows = bands if state is None else bands.join(state.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         rows = rows.withColumn("root", F.col("node")) if state is None else rows
-        span = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "n", "root"), F.xxhash64("root", F.lit(r), "node") if r else F.col("node")).alias("hub")).where("lo < hi")
+        span = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "n", "root"), F.xxhash64("root", F.lit(r), "node") if r else F.col("node")).alias("hub")).where("lo < hi")
         span = stored(span.withColumnRenamed("key", "hk"), "span")
         if r < hub_rounds:
             pairs = rows.join(span, F.col("key") == F.col("hk")).where("root <> hub.root").select(F.col("node"), F.col("n"), F.col("hub.node").alias("hn"), F.col("hub.n").alias("hs"))
+            pairs = pairs.where(100 * F.least("n", "hs") >= percent * F.greatest("n", "hs")).select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b")).distinct()
+            pairs = alike(stored(pairs, "pairs"), nodes, percent)
         else:
-            open_rows = stored(rows.join(span.select("hk"), F.col("key") == F.col("hk"), "left_semi"), "open")
-            other = open_rows.select(F.col("key").alias("k2"), F.col("node").alias("hn"), F.col("n").alias("hs"), F.col("root").alias("hr"))
-            pairs = open_rows.join(other, (F.col("key") == F.col("k2")) & (F.col("node") < F.col("hn")) & (F.col("root") != F.col("hr"))).select("node", "n", "hn", "hs")
-        pairs = pairs.where(100 * F.least("n", "hs") >= percent * F.greatest("n", "hs")).select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b")).distinct()
+            open_rows = rows.join(span.select("hk", "m"), F.col("key") == F.col("hk")).select("key", "node", "n", "root", "m")
+            open_rows = stored(open_rows, "open").join(nodes.select(F.col("node").alias("sn"), "sig"), F.col("node") == F.col("sn")).drop("sn")
+            pairs = across(open_rows, percent).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -207,7 +266,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85
         lowest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "lr"), "lowest")
         member = rooted.join(lowest, F.col("root") == F.col("lr")).select("f1", "f2", "n", "component_id")
     member = stored(member.withColumnsRenamed({"f1": "g1", "f2": "g2", "n": "gn"}), "member")
-    out = docs.drop("bands").join(member, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
+    out = docs.drop("bands", "sig").join(member, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
     of = F.coalesce("component_id", "id")
     return out.select("id", F.col("n").alias("n_shingles"), of.alias("component_id"), (F.col("id") == of).alias("kept"))
 
