@@ -21,6 +21,8 @@ from .common import LOWER, U64, each_slice, mix, span_hash, stored, windows, wor
 PLACES, BANDS, ROWS = 1 << 18, 28, 5
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
+#: Node ids that are broadcast at most.
+BROADCAST = 2_000_000
 _rank: dict[int, np.ndarray] = {}
 
 
@@ -122,9 +124,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, n, root, sig, m) that share a key, differ in root, and agree enough in size and
-    signature. m is the key's number of rows: a larger bucket is cut into blocks, and each pair of blocks is one group.
-    Only pairs that pass leave the task."""
+    """Pairs (a, b) of rows (key, node, n, root, sig, bands, m) that share a key, differ in root, and agree enough in size
+    and signature. m is the key's number of rows: a larger bucket is cut into blocks, and each pair of blocks is one group.
+    Only pairs that pass leave the task, and a pair leaves only the bucket of the first band that it shares."""
     least = least_agreement(percent)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -134,8 +136,10 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
         i, j = key[1].as_py(), key[2].as_py()
         node, n, root, block = (t[c].to_numpy() for c in ("node", "n", "root", "block"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
+        bands = np.frombuffer(b"".join(t["bands"].to_pylist()), np.int64).reshape(len(t), -1)
         order = np.argsort(block, kind="stable")
-        node, n, root, block, sig = node[order], n[order], root[order], block[order], sig[order]
+        node, n, root, block, sig, bands = node[order], n[order], root[order], block[order], sig[order], bands[order]
+        here = int((bands[0] == key[0].as_py()).argmax())
         half = int(np.searchsorted(block, j)) if i < j else 0
         a, b = [], []
         for x in range(half if i < j else len(node)):
@@ -143,6 +147,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             ok = (root[lo:] != root[x]) & (100 * np.minimum(n[lo:], n[x]) >= percent * np.maximum(n[lo:], n[x]))
             at = np.flatnonzero(ok) + lo
             at = at[(sig[at] == sig[x]).sum(1) >= least]
+            at = at[~(bands[at, :here] == bands[x, :here]).any(1)]
             a.append(np.full(len(at), node[x]))
             b.append(node[at])
         a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
@@ -219,7 +224,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85
     Rows that repeat an id are documents of their own that share it. An empty table gives no rows.
 
     Documents with equal sets are one node. Nodes that share a band are candidates. A bucket does not emit all its pairs:
-    each round verifies its nodes against one hub of the bucket on full sets, links are joined into components, and only
+    each round verifies each node against one hub of its buckets on full sets, links are joined into components, and only
     buckets that still span components go on with another hub. What is then left of pairs between components within a
     bucket is compared in blocks, so no candidate link is lost. Before full sets move, a pair must agree in as many
     coordinates as one at the threshold does, less six standard deviations."""
@@ -240,11 +245,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85
         span = stored(span.withColumnRenamed("key", "hk"), "span")
         if r < hub_rounds:
             pairs = rows.join(span, F.col("key") == F.col("hk")).where("root <> hub.root").select(F.col("node"), F.col("n"), F.col("hub.node").alias("hn"), F.col("hub.n").alias("hs"))
-            pairs = pairs.where(100 * F.least("n", "hs") >= percent * F.greatest("n", "hs")).select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b")).distinct()
+            pairs = pairs.where(100 * F.least("n", "hs") >= percent * F.greatest("n", "hs")).groupBy("node").agg(F.min("hn").alias("hn"))
+            pairs = pairs.select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b")).distinct()
             pairs = alike(stored(pairs, "pairs"), nodes, percent)
         else:
             open_rows = rows.join(span.select("hk", "m"), F.col("key") == F.col("hk")).select("key", "node", "n", "root", "m")
-            open_rows = stored(open_rows, "open").join(nodes.select(F.col("node").alias("sn"), "sig"), F.col("node") == F.col("sn")).drop("sn")
+            open_rows = stored(open_rows, "open").join(nodes.select(F.col("node").alias("sn"), "sig", "bands"), F.col("node") == F.col("sn")).drop("sn")
             pairs = across(open_rows, percent).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -295,6 +301,8 @@ def one_of_each(df: DataFrame, id_col: str, text_col: str, percent: int = 85, k:
 def set_rows(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int) -> DataFrame:
     """(node, n, set) for the nodes of wanted (node, low): made from the text of the node's document, sorted, as bytes."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
+    if wanted.count() <= BROADCAST:  # 16 bytes a row; beyond that both sides are shuffled
+        wanted = F.broadcast(wanted)
     rows = rows.join(wanted, F.col("id") == F.col("low")).select("node", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
