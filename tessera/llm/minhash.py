@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, each_slice, mix, span_hash, stored, windows, words
 
-#: Size of the universe (a power of two), bands and rows a band. At a similarity of 0.85 a pair shares no band with
-#: probability (1 - 0.85^5)^28 = 7e-8.
+#: Size of the universe (a power of two), bands and rows a band. At a similarity of 0.8 a pair shares no band with
+#: probability (1 - 0.8^5)^28 = 1.5e-5, at 0.85 with 7e-8.
 PLACES, BANDS, ROWS = 1 << 18, 28, 5
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
@@ -216,7 +216,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85, k: int = 5, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 80, k: int = 5, hub_rounds: int = 2) -> DataFrame:
     """Components of documents whose k-word shingle sets have 100 * intersection >= percent * union.
 
     Returns id (long), n_shingles, component_id (the smallest id reachable) and kept (id = component_id). A document
@@ -277,7 +277,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 85
     return out.select("id", F.col("n").alias("n_shingles"), of.alias("component_id"), (F.col("id") == of).alias("kept"))
 
 
-def one_of_each(df: DataFrame, id_col: str, text_col: str, percent: int = 85, k: int = 5) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str, text_col: str, percent: int = 80, k: int = 5) -> DataFrame:
     """The rows of df less near duplicates: of each component the document with the smallest id stays, with all columns.
 
     Rows with a null id stay. Where rows repeat an id, one row of each component stays: the smallest by its text."""

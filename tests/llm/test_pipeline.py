@@ -43,6 +43,27 @@ def test_near_dedup(stages):
     assert got[None] == sum(r["doc_id"] is None for r in stages[1])
 
 
+def test_near_dedup_links_from_80_percent(spark, sf):
+    """A pair with a Jaccard of 0.8 to 0.85 loses its larger id, in the stage and by the operator's defaults."""
+    w = [f"w{i}" for i in range(54)]
+    pair = [" ".join(w), " ".join(w[:25] + ["x"] + w[26:])]
+    a, b = (brute.shingle_set(t) for t in pair)
+    assert 0.85 > len(a & b) / len(a | b) >= 0.8
+    rows = [(1, pair[0]), (2, pair[1]), (3, "another text")]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, _, _, k in brute.near(rows, 80) if k}
+    assert want == {1, 3}
+    assert {r["doc_id"] for r in cp.near_dedup(spark, df, sf).collect()} == want
+    assert {r["doc_id"] for r in cp.minhash.one_of_each(df, "doc_id", "text").collect()} == want
+    assert collections.Counter(map(tuple, cp.minhash.near_duplicates(df, "doc_id", "text").collect())) == collections.Counter(brute.near(rows, 80))
+
+
+def test_near_dedup_at_80_percent(stages):
+    rows = [(r["doc_id"], r["text"]) for r in stages[1] if r["doc_id"] is not None]
+    got = {r["doc_id"] for r in stages[2] if r["doc_id"] is not None}
+    assert got == {i for i, _, _, k in brute.near(rows, 80) if k}
+
+
 def test_substring_dedup(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[2]]
     none = 10**12
