@@ -228,6 +228,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 80
     buckets that still span components go on with another hub. What is then left of pairs between components within a
     bucket is compared in blocks, so no candidate link is lost. Before full sets move, a pair must agree in as many
     coordinates as one at the threshold does, less six standard deviations."""
+    out = linked(df, id_col, text_col, percent, k, hub_rounds)
+    return out.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def linked(df: DataFrame, id_col: str, text_col: str, percent: int, k: int, hub_rounds: int = 2) -> DataFrame:
+    """id, n, f1, f2, component_id and root (a component's own number, null without words) of each row of near_duplicates."""
     docs = stored(described(df, id_col, text_col, k), "minhash")
     full = docs.where("n > 0")
     nodes = stored(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.xxhash64("f1", "f2", "n")), "nodes")
@@ -266,36 +272,49 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 80
         links = found if links is None else links.union(found)
         state = stored(components(links), "components")
     if state is None:
-        member = nodes.select("f1", "f2", "n", F.col("low").alias("component_id"))
+        member = nodes.select("f1", "f2", "n", F.col("node").alias("root"), F.col("low").alias("component_id"))
     else:
         rooted = nodes.join(state.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn"), "left").select("f1", "f2", "n", "low", F.coalesce("root", "node").alias("root"))
         lowest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "lr"), "lowest")
-        member = rooted.join(lowest, F.col("root") == F.col("lr")).select("f1", "f2", "n", "component_id")
+        member = rooted.join(lowest, F.col("root") == F.col("lr")).select("f1", "f2", "n", "root", "component_id")
     member = stored(member.withColumnsRenamed({"f1": "g1", "f2": "g2", "n": "gn"}), "member")
     out = docs.drop("bands", "sig").join(member, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
-    of = F.coalesce("component_id", "id")
-    return out.select("id", F.col("n").alias("n_shingles"), of.alias("component_id"), (F.col("id") == of).alias("kept"))
+    return out.select("id", "n", "f1", "f2", F.coalesce("component_id", "id").alias("component_id"), "root")
 
 
 def one_of_each(df: DataFrame, id_col: str, text_col: str, percent: int = 80, k: int = 5) -> DataFrame:
     """The rows of df less near duplicates: of each component the document with the smallest id stays, with all columns.
 
-    Rows with a null id stay. Where rows repeat an id, one row of each component stays: the smallest by its text."""
-    from pyspark.sql import Window as W
-
-    found = stored(near_duplicates(df, id_col, text_col, percent, k), "near")
-    gone = stored(found.where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct(), "gone")
-    again = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
-    again = stored(again, "again")
-    left = df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+    Rows with a null id stay. Rows that repeat an id are documents of their own: of those in one component with its smallest
+    id the smallest by its text stays, and a row without words links with nothing and stays."""
+    found = stored(linked(df, id_col, text_col, percent, k), "near")
+    again = stored(found.groupBy(F.col("id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again"), "again")
+    gone = found.where("id <> component_id").select(F.col("id").alias("__gone"))
     if again.isEmpty():
-        return left
-    # An id that some row loses and another keeps: few, as ids are meant to be unique. Texts of such rows are compared whole.
-    kept = stored(found.where("kept").select(F.col("id").alias("__kept")).distinct(), "kept")
-    mine = df.join(again, df[id_col] == F.col("__again"), "left_semi").join(kept, df[id_col] == F.col("__kept"), "left_semi")
-    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).isNull(), text_col))
-    single = mine.withColumn("__row", first).where("__row = 1").drop("__row")
-    return left.join(again, df[id_col] == F.col("__again"), "left_anti").union(single)
+        return df.join(stored(gone, "gone"), df[id_col] == F.col("__gone"), "left_anti")
+    left = df.join(stored(gone.union(again).distinct(), "gone"), df[id_col] == F.col("__gone"), "left_anti")
+    # Rows of an id that others have too are told apart by their sets, which are made once more for these rows only.
+    mine = fingerprinted(df.join(again, df[id_col] == F.col("__again"), "left_semi"), text_col, k)
+    sets = found.join(again, F.col("id") == F.col("__again"), "left_semi").where("id = component_id").select(F.col("id").alias("__id"), F.col("n").alias("__sn"), F.col("f1").alias("__s1"), F.col("f2").alias("__s2"), F.col("root").alias("__root")).distinct()
+    at = (mine[id_col] == F.col("__id")) & (F.col("__n") == F.col("__sn")) & (F.col("__f1") == F.col("__s1")) & (F.col("__f2") == F.col("__s2"))
+    mine = mine.join(stored(sets, "kept"), at).select(*[mine[c] for c in df.columns], "__root")
+    single = mine.where("__root is not null").groupBy(id_col, "__root").agg(F.min_by(F.struct(*df.columns), F.struct(F.col(text_col).isNull(), text_col)).alias("__row")).select("__row.*")
+    return left.union(single).union(mine.where("__root is null").drop("__root"))
+
+
+def fingerprinted(df: DataFrame, text_col: str, k: int) -> DataFrame:
+    """df with __n, __f1 and __f2 of each row's set, as in described."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offs in each_slice(batches, "__t", 2 << 20):
+            key, at = shingles(buf, offs, k)
+            sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(key + U64(s)))]) for s in (3, 5)]
+            f1, f2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(f1), pa.array(f2)], names=["__row", "__n", "__f1", "__f2"])
+
+    made = df.select(F.struct(*df.columns).alias("__row"), F.col(text_col).alias("__t"))
+    kind = made.schema["__row"].dataType.simpleString()
+    return made.mapInArrow(run, f"__row {kind}, __n long, __f1 long, __f2 long").select("__row.*", "__n", "__f1", "__f2")
 
 
 def set_rows(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int) -> DataFrame:

@@ -58,6 +58,15 @@ def test_near_dedup_links_from_80_percent(spark, sf):
     assert collections.Counter(map(tuple, cp.minhash.near_duplicates(df, "doc_id", "text").collect())) == collections.Counter(brute.near(rows, 80))
 
 
+def test_near_dedup_tells_rows_that_share_an_id_apart(spark, sf):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    case = lambda rows: sorted((r["doc_id"], r["text"]) for r in cp.minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect())
+    assert case([(1, x), (1, y), (5, y)]) == [(1, x), (1, y)]
+    assert case([(0, x), (1, x), (1, y), (1, y)]) == [(0, x), (1, y)]
+    assert case([(2, z), (2, z), (3, z), (2, x), (4, y), (2, " "), (2, "  ")]) == [(2, " "), (2, "  "), (2, x), (2, z), (4, y)]
+    assert case([(7, x), (7, x)]) == [(7, x)]
+
+
 def test_near_dedup_at_80_percent(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[1] if r["doc_id"] is not None]
     got = {r["doc_id"] for r in stages[2] if r["doc_id"] is not None}
