@@ -89,6 +89,9 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, s
     queries, data = queries.mapInArrow(placed(p_q), kind), rows.mapInArrow(placed(p_x), kind)
     cells = lambda df: {r["cell"]: (r["n"], r["far"]) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
     q_cells, x_cells = cells(queries), cells(data)
+    # Rows with a query's id are no candidates of it, however many they are: each group's largest number of those.
+    alike = rows.where(is_query).groupBy(F.col("id").alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    same = {r["cell"]: r["n"] for r in queries.join(alike, F.col("id") == F.col("own")).groupBy("cell").agg(F.max("n").alias("n")).collect()}
 
     norm_q, norm_x = np.sqrt((p_q**2).sum(1)), np.sqrt((p_x**2).sum(1))
     need, radius = np.full(len(p_q), np.inf), np.zeros(len(p_q))
@@ -99,7 +102,7 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, s
         need[i] = -np.inf
         for low, m in lows:
             have += m
-            if have > k:  # one of them may be the query itself
+            if have >= k + same[i]:
                 need[i] = low - 1e-6 * (1 + abs(low))
                 break
     parts = {j: -(-m // BLOCK) for j, (m, _) in x_cells.items()}

@@ -311,6 +311,14 @@ def test_knn(spark, sf, monkeypatch, block):
     assert knn.top_k(both.limit(0), "vec_id", "embedding", F.col("id") % 50 == 0).count() == 0
 
 
+def test_knn_with_a_query_id_that_repeats(spark, monkeypatch):
+    """Rows with the query's id, all in a tight cell, do not bound its score."""
+    monkeypatch.setattr(knn, "BLOCK", 2)
+    rows = [(50, [10.0, 0.01 * j]) for j in range(30)] + [(102 + 7 * j, [1.0, 0.1 * j]) for j in range(12)] + [(401, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    same(map(tuple, knn.top_k(df, "vec_id", "embedding", F.col("id") % 50 == 0, 5).collect()), expected_top(df.collect()))
+
+
 # ---------------------------------------------------------------- 7
 
 
