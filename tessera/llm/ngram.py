@@ -25,8 +25,8 @@ from .eliasfano import EliasFano, mapped
 from .exchange import ARROW_MESSAGE, MESSAGE, Chunk, Chunks, freed, messages, shard_bounds, solve
 
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-#: Steps of the quantised log10 probabilities (16 bits), and those of what a shorter context says (8 bits).
-FINE, COARSE = 4096, 24
+#: Steps of the quantised log10 probabilities (16 bits), and those of what a shorter context says (16 bits).
+FINE, COARSE = 4096, 4096
 CONTEXT, WORD = 48, 40
 
 
@@ -146,7 +146,7 @@ def _pack(ctx: np.ndarray, total: np.ndarray, sizes: np.ndarray, word: np.ndarra
 def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
     n, m = struct.unpack_from("<qq", body)
     at, out = 16, []
-    for kind, k in ((np.uint32, n), (np.uint16, n), (np.uint32, n), (np.uint32, n), (np.uint32, m), (np.uint8, m), (np.uint32, m), (np.uint8, m)):
+    for kind, k in ((np.uint32, n), (np.uint16, n), (np.uint32, n), (np.uint32, n), (np.uint32, m), (np.uint8, m), (np.uint32, m), (np.uint16, m)):
         out.append(np.frombuffer(body, kind, k, at))
         at += out[-1].nbytes
     hi, lo, total, sizes, whi, wlo, count, coarse = out
@@ -227,7 +227,7 @@ class Query:
         at = rows[new]
         self.major, self.word, self.total = major[at], word[at], before[at]
         self.count = np.bincount(self.number, t.learn, len(at)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-        self.coarse = np.clip(np.round(-np.log10(p[at]) * COARSE), 0, 255).astype(np.uint8)
+        self.coarse = np.clip(np.round(-np.log10(p[at]) * COARSE), 0, 65535).astype(np.uint16)
         self.bounds = np.searchsorted(self.major >> U64(CONTEXT), np.arange(shards + 1).astype(U64))
 
     def parts(self) -> Iterator[tuple[int, bytes]]:

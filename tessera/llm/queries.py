@@ -34,7 +34,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.crc32(F.col("doc_id").cast("string")) % 7
-    out = ngram.score(table(spark, sf_dir, "documents"), "doc_id", "text", rest != 2)
+    out = ngram.score(table(spark, sf_dir, "documents"), "doc_id", "text", rest != 2, orders=3)
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 7 == 2, F.lit(False))
     return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

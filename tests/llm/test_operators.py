@@ -264,6 +264,15 @@ def test_ngram_beats_base_on_held_out_texts(spark, sf):
     assert rows[0] > rows[1]
 
 
+def test_ngram_query_counts_trigrams(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    got = [tuple(r) for r in queries()["op3_ngram"](spark, sf).select("doc_id", F.round("score", 6)).collect()]
+    score = lambda k: [tuple(r) for r in ngram.score(docs, "doc_id", "text", learn, orders=k).select("id", F.round("score", 6)).collect()]
+    same(got, score(3))
+    assert sorted(got) != sorted(score(2))
+
+
 # ---------------------------------------------------------------- 5
 
 
