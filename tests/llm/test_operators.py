@@ -296,6 +296,25 @@ def test_toxicity(spark, docs, odd):
     assert toxicity.toxicity(docs.limit(5), none, "doc_id", "text", None).count() == 5
 
 
+def test_toxicity_skips_texts_that_do_not_fit(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["good", "fine", "day"]) for _ in range(9)) + (" vile" if i % 3 == 0 else ""), "en", int(i % 3 == 0)) for i in range(300)]
+    long = [(1000 + i, "day " * 40_000, "en", 0) for i in range(12)]
+    df = spark.createDataFrame(rows + long, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), "doc_id", "text", "lang", "toxic", F.lit(True), most_bytes=100_000)
+    got = toxicity.toxicity(df, model, "doc_id", "text", "lang").where("doc_id < 300").collect()
+    assert all((x["predicted"] == 1) == (x["doc_id"] % 3 == 0) for x in got)
+    with pytest.raises(ValueError, match="none of 12 labelled texts fits"):
+        toxicity.fit(df.where("doc_id >= 1000"), df.select("doc_id", "toxic"), "doc_id", "text", "lang", "toxic", F.lit(True), most_bytes=100_000)
+
+
+def test_toxicity_leaves_out_every_fold_at_any_size(monkeypatch):
+    made, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: made.append(len(a[0])) or train(["a", "b"], [0, 1]))
+    toxicity.calibrated([f"w{i}" for i in range(1600)], [i // 4 % 2 for i in range(1600)], ["en"] * 1600)
+    assert made == [1600] + [1200] * 4
+
+
 # ---------------------------------------------------------------- 6
 
 
