@@ -283,7 +283,7 @@ def test_toxicity(spark, docs, odd):
     rows = queries()["op5_toxicity"](spark, sf).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == brute.held(r["doc_id"], 3, 1) for r in rows)
     lab = dict(labels.select("doc_id", "toxic").collect())
-    got = [(r["score"], lab[r["doc_id"]]) for r in rows if lab.get(r["doc_id"]) is not None]
+    got = [(r["score"], lab[r["doc_id"]]) for r in rows if r["held_out"] and lab.get(r["doc_id"]) is not None]
     above = [a > b for a, x in got if x for b, y in got if not y]
     assert sum(above) / len(above) > 0.9
     model = toxicity.fit(docs, labels, "doc_id", "text", "lang", "toxic", F.lit(True))
@@ -293,7 +293,9 @@ def test_toxicity(spark, docs, odd):
     assert swapped.exceptAll(toxicity.toxicity(docs, model, "doc_id", "text", "lang").select("doc_id", "score")).count() == 0
     none = toxicity.fit(docs, labels.limit(0), "doc_id", "text", "lang", "toxic", F.lit(True))
     assert toxicity.toxicity(docs.limit(0), none, "doc_id", "text", None).count() == 0
-    assert toxicity.toxicity(docs.limit(5), none, "doc_id", "text", None).count() == 5
+    assert [r["score"] for r in toxicity.toxicity(docs.limit(5), none, "doc_id", "text", None).collect()] == [0.5] * 5
+    alone = toxicity.fit(docs, labels.withColumn("toxic", F.lit(1)), "doc_id", "text", "lang", "toxic", F.lit(True))
+    assert all(0.5 < r["score"] <= 1 for r in toxicity.toxicity(docs.limit(5), alone, "doc_id", "text", None).collect())
 
 
 def test_toxicity_skips_texts_that_do_not_fit(spark):
