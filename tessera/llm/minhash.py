@@ -19,9 +19,9 @@ from .common import LOWER, U64, each_slice, mix, span_hash, stored, windows, wor
 #: Size of the universe (a power of two), bands and rows a band. At a similarity of 0.8 a pair shares no band with
 #: probability (1 - 0.8^5)^28 = 1.5e-5, at 0.85 with 7e-8.
 PLACES, BANDS, ROWS = 1 << 18, 28, 5
-#: Rows of a bucket that are compared with each other in one task.
-BLOCK = 2048
-#: Node ids that are broadcast at most.
+#: Rows of a bucket, and bytes of their sets, that are compared with each other in one task.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Node ids that are broadcast at most (24 bytes each); beyond that both sides are shuffled, with the same result.
 BROADCAST = 2_000_000
 _rank: dict[int, np.ndarray] = {}
 
@@ -85,8 +85,8 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def described(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
-    """id, n (set size), f1 and f2 (fingerprint of the set), bands (the keys as bytes) and sig (a byte of each coordinate);
-    rows with a null id are left out."""
+    """id, h (a hash of the text where the id is null, else null), n (set size), f1 and f2 (fingerprint of the set), bands (the
+    keys as bytes) and sig (a byte of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in each_slice(batches, "t", 2 << 20):
@@ -97,9 +97,15 @@ def described(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFram
             sig = signatures(key, at)
             packed = [np.ascontiguousarray(x.T) for x in (band_keys(sig), (sig & 255).astype(np.uint8))]
             packed = [pa.array([r.tobytes() if m else None for r, m in zip(x, n)], pa.binary()) for x in packed]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), *packed], names=["id", "n", "f1", "f2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), *packed], names=["id", "h", "n", "f1", "f2", "bands", "sig"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null").mapInArrow(run, "id long, n long, f1 long, f2 long, bands binary, sig binary")
+    return named(df, id_col, text_col).mapInArrow(run, "id long, h long, n long, f1 long, f2 long, bands binary, sig binary")
+
+
+def named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h and t: rows without an id are told apart by the hash of their text."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    return rows.select("id", F.when(F.col("id").isNull(), F.xxhash64("t")).alias("h"), "t")
 
 
 def least_agreement(percent: int) -> int:
@@ -123,37 +129,80 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, n, root, sig, bands, m) that share a key, differ in root, and agree enough in size
-    and signature. m is the key's number of rows: a larger bucket is cut into blocks, and each pair of blocks is one group.
-    Only pairs that pass leave the task, and a pair leaves only the bucket of the first band that it shares."""
-    least = least_agreement(percent)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+class Rows:
+    """Rows of one pair (i, j) of a bucket's blocks; a row is compared with later ones, of the other block where i < j."""
+
+    def __init__(self, key: tuple[pa.Scalar, ...], t: pa.Table, percent: int):
+        band, i, j = (k.as_py() for k in key)
+        t = t.take(pa.array(np.lexsort((t["node"].to_numpy(), t["block"].to_numpy()))))
+        self.t, self.percent, self.least = t, percent, least_agreement(percent)
+        self.node, self.n, block = (t[c].to_numpy() for c in ("node", "n", "block"))
+        self.comp = np.unique(t["root"].to_numpy(), return_inverse=True)[1]
+        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
+        self.bands = np.frombuffer(b"".join(t["bands"].to_pylist()), np.int64).reshape(len(t), -1)
+        self.here = int((self.bands[0] == band).argmax())
+        self.half = int(np.searchsorted(block, j)) if i < j else 0
+        self.cross = i < j
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row and the later ones to compare it with: of another component by now, near enough in size and
+        signature, and without a common band before this bucket's, whose bucket sees the pair too."""
+        for x in range(self.half if self.cross else len(self.node)):
+            lo = self.half if self.cross else x + 1
+            small, large = np.minimum(self.n[lo:], self.n[x]), np.maximum(self.n[lo:], self.n[x])
+            at = np.flatnonzero((self.comp[lo:] != self.comp[x]) & (100 * small >= self.percent * large)) + lo
+            at = at[(self.sig[at] == self.sig[x]).sum(1) >= self.least]
+            at = at[~(self.bands[at, : self.here] == self.bands[x, : self.here]).any(1)]
+            if len(at):
+                yield x, at
+
+
+def spanning(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of rows (key, node, n, root, m, size) as all links within the keys' buckets do.
+
+    m is a bucket's number of rows and size their shingles: a large bucket is cut into blocks of bounded rows and bytes, and
+    each pair of blocks is one group. A first pass keeps the rows that have a candidate in their group; only for these do
+    full sets travel. The second verifies pairs on full sets, skips pairs that are joined by then, and emits a link only
+    where it joins two components: fewer links than a group has rows, however many pairs it holds."""
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") * 8 / BLOCK_BYTES)).cast("int")
     cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cut = cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        node, n, root, block = (t[c].to_numpy() for c in ("node", "n", "root", "block"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
-        bands = np.frombuffer(b"".join(t["bands"].to_pylist()), np.int64).reshape(len(t), -1)
-        order = np.argsort(block, kind="stable")
-        node, n, root, block, sig, bands = node[order], n[order], root[order], block[order], sig[order], bands[order]
-        here = int((bands[0] == key[0].as_py()).argmax())
-        half = int(np.searchsorted(block, j)) if i < j else 0
+    cut = cut.select("key", "node", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    described = nodes.select(F.col("node").alias("sn"), "sig", "bands")
+    kind = "key long, node long, n long, root long, block int, i int, j int"
+
+    def worth(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        r = Rows(key, t, percent)
+        keep = np.zeros(len(t), bool)
+        for x, at in r.candidates():
+            keep[x] = keep[at] = True
+        return r.t.select(["key", "node", "n", "root", "block", "i", "j"]).filter(pa.array(keep))
+
+    def joined(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        r = Rows(key, t, percent)
+        count = r.n
+        starts = np.concatenate([[0], np.cumsum(count)])
+        shingle = np.unique(np.frombuffer(b"".join(r.t["set"].to_pylist()), U64), return_inverse=True)[1]
+        mine = np.zeros(int(shingle.max()) + 1 if len(shingle) else 0, np.int64)
         a, b = [], []
-        for x in range(half if i < j else len(node)):
-            lo = half if i < j else x + 1
-            ok = (root[lo:] != root[x]) & (100 * np.minimum(n[lo:], n[x]) >= percent * np.maximum(n[lo:], n[x]))
-            at = np.flatnonzero(ok) + lo
-            at = at[(sig[at] == sig[x]).sum(1) >= least]
-            at = at[~(bands[at, :here] == bands[x, :here]).any(1)]
-            a.append(np.full(len(at), node[x]))
-            b.append(node[at])
-        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return cut.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+        for x, at in r.candidates():
+            mine[shingle[starts[x] : starts[x + 1]]] = 1
+            first = np.cumsum(count[at]) - count[at]
+            of = np.arange(int(count[at].sum())) + np.repeat(starts[at] - first, count[at])
+            common = np.add.reduceat(mine[shingle[of]], first)
+            mine[shingle[starts[x] : starts[x + 1]]] = 0
+            for y in at[100 * common >= percent * (count[x] + count[at] - common)]:
+                if r.comp[y] != r.comp[x]:
+                    a.append(r.node[x])
+                    b.append(r.node[y])
+                    r.comp[r.comp == r.comp[y]] = r.comp[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    near = cut.join(described, F.col("node") == F.col("sn")).drop("sn").groupBy("key", "i", "j").applyInArrow(worth, kind)
+    near = stored(near, "near")
+    if near.isEmpty():
+        return near.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    near = near.join(described, F.col("node") == F.col("sn")).drop("sn").join(sets.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn")).drop("sn")
+    return near.groupBy("key", "i", "j").applyInArrow(joined, "a long, b long")
 
 
 def unpacked_bands(sets: DataFrame) -> DataFrame:
@@ -213,6 +262,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components still move after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
@@ -220,53 +271,52 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, percent: int = 80
     """Components of documents whose k-word shingle sets have 100 * intersection >= percent * union.
 
     Returns id (long), n_shingles, component_id (the smallest id reachable) and kept (id = component_id). A document
-    without words, or with a null text, links with nothing. A row with a null id has no result row and links with nothing.
-    Rows that repeat an id are documents of their own that share it. An empty table gives no rows.
+    without words, or with a null text, links with nothing. A row with a null id is a document like others whose id comes after
+    all others: a component of such rows alone has a null component_id, and all of them are kept (null-safe equality). Rows
+    that repeat an id are documents of their own that share it. An empty table gives no rows.
 
     Documents with equal sets are one node. Nodes that share a band are candidates. A bucket does not emit all its pairs:
     each round verifies each node against one hub of its buckets on full sets, links are joined into components, and only
     buckets that still span components go on with another hub. What is then left of pairs between components within a
-    bucket is compared in blocks, so no candidate link is lost. Before full sets move, a pair must agree in as many
-    coordinates as one at the threshold does, less six standard deviations."""
+    bucket is compared in blocks, so no candidate link is lost, and only links that join components leave a block. Before
+    full sets move, a pair must agree in as many coordinates as one at the threshold does, less six standard deviations:
+    a link is lost there with a probability of about 1e-9, far below that of sharing no band."""
     out = linked(df, id_col, text_col, percent, k, hub_rounds)
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def linked(df: DataFrame, id_col: str, text_col: str, percent: int, k: int, hub_rounds: int = 2) -> DataFrame:
     """id, n, f1, f2, component_id and root (a component's own number, null without words) of each row of near_duplicates."""
     docs = stored(described(df, id_col, text_col, k), "minhash")
     full = docs.where("n > 0")
-    nodes = stored(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.xxhash64("f1", "f2", "n")), "nodes")
+    nodes = stored(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.min("h").alias("lh"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.xxhash64("f1", "f2", "n")), "nodes")
     bands = stored(unpacked_bands(nodes), "bands")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k2"))
     bands = stored(bands.join(shared, F.col("key") == F.col("k2"), "left_semi"), "bands")
-    wanted = stored(bands.select("node").distinct().join(nodes.select(F.col("node").alias("w"), "low"), F.col("node") == F.col("w")).select("node", "low"), "wanted")
-    sets = stored(set_rows(df, id_col, text_col, wanted, k), "sets")
+    wanted = bands.select("node").distinct().join(nodes.select(F.col("node").alias("w"), "low", "lh"), F.col("node") == F.col("w"))
+    wanted = stored(wanted.select("node", "low", F.when(F.col("low").isNull(), F.col("lh")).alias("lh")), "wanted")
+    sets = set_rows(df, id_col, text_col, wanted, k)
 
-    state, tested, links = None, None, None
+    state, links = None, None
     for r in range(hub_rounds + 1):
-        rows = bands if state is None else bands.join(state.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        rows = rows.withColumn("root", F.col("node")) if state is None else rows
-        span = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "n", "root"), F.xxhash64("root", F.lit(r), "node") if r else F.col("node")).alias("hub")).where("lo < hi")
+        if state is None:
+            rows = bands.withColumn("root", F.col("node"))
+        else:
+            rows = bands.join(state.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("root", F.lit(r), "node") if r else F.col("node")).alias("hub")
+        span = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), hub).where("lo < hi")
         span = stored(span.withColumnRenamed("key", "hk"), "span")
+        if span.isEmpty():
+            break
         if r < hub_rounds:
             pairs = rows.join(span, F.col("key") == F.col("hk")).where("root <> hub.root").select(F.col("node"), F.col("n"), F.col("hub.node").alias("hn"), F.col("hub.n").alias("hs"))
             pairs = pairs.where(100 * F.least("n", "hs") >= percent * F.greatest("n", "hs")).groupBy("node").agg(F.min("hn").alias("hn"))
             pairs = pairs.select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b")).distinct()
-            pairs = alike(stored(pairs, "pairs"), nodes, percent)
+            found = verified(stored(alike(stored(pairs, "pairs"), nodes, percent), "pairs"), sets, percent)
         else:
-            open_rows = rows.join(span.select("hk", "m"), F.col("key") == F.col("hk")).select("key", "node", "n", "root", "m")
-            open_rows = stored(open_rows, "open").join(nodes.select(F.col("node").alias("sn"), "sig", "bands"), F.col("node") == F.col("sn")).drop("sn")
-            pairs = across(open_rows, percent).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if r < hub_rounds:
-                continue
-            break
-        found = stored(verified(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.union(pairs)
+            rows = rows.join(span.select("hk", "m", "size"), F.col("key") == F.col("hk")).select("key", "node", "n", "root", "m", "size")
+            found = spanning(stored(rows, "open"), nodes, sets, percent)
+        found = stored(found, "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
@@ -285,18 +335,19 @@ def linked(df: DataFrame, id_col: str, text_col: str, percent: int, k: int, hub_
 def one_of_each(df: DataFrame, id_col: str, text_col: str, percent: int = 80, k: int = 5) -> DataFrame:
     """The rows of df less near duplicates: of each component the document with the smallest id stays, with all columns.
 
-    Rows with a null id stay. Rows that repeat an id are documents of their own: of those in one component with its smallest
-    id the smallest by its text stays, and a row without words links with nothing and stays."""
+    Rows that repeat an id, and rows without one, are documents of their own: of those in one component with its smallest id
+    (null only where no row has one) the smallest by its text stays, and a row without words links with nothing and stays."""
     found = stored(linked(df, id_col, text_col, percent, k), "near")
-    again = stored(found.groupBy(F.col("id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again"), "again")
-    gone = found.where("id <> component_id").select(F.col("id").alias("__gone"))
+    again = found.groupBy(F.col("id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 or __again is null")
+    again = stored(again.select("__again"), "again")
+    gone = found.where("not (id <=> component_id)").select(F.col("id").alias("__gone"))
     if again.isEmpty():
         return df.join(stored(gone, "gone"), df[id_col] == F.col("__gone"), "left_anti")
-    left = df.join(stored(gone.union(again).distinct(), "gone"), df[id_col] == F.col("__gone"), "left_anti")
+    left = df.join(stored(gone.union(again).distinct(), "gone"), df[id_col].eqNullSafe(F.col("__gone")), "left_anti")
     # Rows of an id that others have too are told apart by their sets, which are made once more for these rows only.
-    mine = fingerprinted(df.join(again, df[id_col] == F.col("__again"), "left_semi"), text_col, k)
-    sets = found.join(again, F.col("id") == F.col("__again"), "left_semi").where("id = component_id").select(F.col("id").alias("__id"), F.col("n").alias("__sn"), F.col("f1").alias("__s1"), F.col("f2").alias("__s2"), F.col("root").alias("__root")).distinct()
-    at = (mine[id_col] == F.col("__id")) & (F.col("__n") == F.col("__sn")) & (F.col("__f1") == F.col("__s1")) & (F.col("__f2") == F.col("__s2"))
+    mine = fingerprinted(df.join(again, df[id_col].eqNullSafe(F.col("__again")), "left_semi"), text_col, k)
+    sets = found.join(again, F.col("id").eqNullSafe(F.col("__again")), "left_semi").where("id <=> component_id").select(F.col("id").alias("__id"), F.col("n").alias("__sn"), F.col("f1").alias("__s1"), F.col("f2").alias("__s2"), F.col("root").alias("__root")).distinct()
+    at = mine[id_col].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__sn")) & (F.col("__f1") == F.col("__s1")) & (F.col("__f2") == F.col("__s2"))
     mine = mine.join(stored(sets, "kept"), at).select(*[mine[c] for c in df.columns], "__root")
     single = mine.where("__root is not null").groupBy(id_col, "__root").agg(F.min_by(F.struct(*df.columns), F.struct(F.col(text_col).isNull(), text_col)).alias("__row")).select("__row.*")
     return left.union(single).union(mine.where("__root is null").drop("__root"))
@@ -318,11 +369,11 @@ def fingerprinted(df: DataFrame, text_col: str, k: int) -> DataFrame:
 
 
 def set_rows(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, n, set) for the nodes of wanted (node, low): made from the text of the node's document, sorted, as bytes."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    if wanted.count() <= BROADCAST:  # 16 bytes a row; beyond that both sides are shuffled
-        wanted = F.broadcast(wanted)
-    rows = rows.join(wanted, F.col("id") == F.col("low")).select("node", "t")
+    """(node, set), one stored row for each node of wanted (node, low, lh): made from the text of a document of the node, as
+    sorted fingerprints. Where several rows share that document's id and set, one of them stays."""
+    rows, many = named(df, id_col, text_col), wanted.count()
+    small = F.broadcast(wanted) if many <= BROADCAST else wanted
+    rows = rows.join(small, F.col("id").eqNullSafe(F.col("low")) & F.col("h").eqNullSafe(F.col("lh"))).select("node", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in each_slice(batches, "t", 2 << 20):
@@ -333,4 +384,5 @@ def set_rows(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: in
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(f1), pa.array(f2), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["node", "n", "f1", "f2", "set"])
 
     made = rows.mapInArrow(run, "node long, n long, f1 long, f2 long, set binary")
-    return made.where(F.col("node") == F.xxhash64("f1", "f2", "n")).select("node", "set")
+    made = stored(made.where(F.col("node") == F.xxhash64("f1", "f2", "n")).select("node", "set"), "sets")
+    return made if made.count() == many else stored(made.dropDuplicates(["node"]), "sets")

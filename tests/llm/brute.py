@@ -63,7 +63,7 @@ def near(rows, percent=85):
     lowest = {}
     for n, (i, _) in enumerate(sets):
         r = find(n)
-        lowest[r] = min(lowest.get(r, i), i)
+        lowest[r] = min(lowest.get(r, i), i, key=lambda x: (x is None, x or 0))
     return [(i, len(s), lowest[find(n)], i == lowest[find(n)]) for n, (i, s) in enumerate(sets)]
 
 

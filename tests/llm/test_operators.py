@@ -373,9 +373,29 @@ def test_substring_of_short_windows_and_long_prefixes(spark):
 
 def test_near_duplicates(spark, docs, odd):
     for df in (docs, odd, docs.limit(0)):
-        rows = [(i, t) for i, t in pairs(df) if i is not None]
         got = minhash.near_duplicates(df, "doc_id", "text", 85).collect()
-        same(map(tuple, got), brute.near(rows))
+        same(map(tuple, got), brute.near(pairs(df)))
+
+
+def test_near_duplicates_of_rows_without_id(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(20)) for c in "xy")
+    rows = [(None, x), (None, x), (None, y), (4, y), (None, None), (None, y + " z")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    same(map(tuple, got), [(None, 16, None, True)] * 2 + [(None, 16, 4, False), (4, 16, 4, True), (None, 0, None, True), (None, 17, 4, False)])
+
+
+@pytest.mark.parametrize("block", [1 << 20, 90])
+def test_a_large_family_near_the_threshold(spark, monkeypatch, block):
+    """Members are 0.65 to 0.95 alike: some linked directly, some by chains, some not at all; and few links leave a block."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r, base = random.Random(8), [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(x if r.random() > r.choice([0.004, 0.02, 0.03]) else f"r{r.random()}" for x in base)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made, spanning = [], minhash.spanning
+    monkeypatch.setattr(minhash, "spanning", lambda *a: made.append(spanning(*a)) or made[-1])
+    want = brute.near(rows)
+    same(map(tuple, minhash.near_duplicates(df, "doc_id", "text", 85, hub_rounds=0 if block < 1000 else 2).collect()), want)
+    assert 1 < len({w[2] for w in want}) < 250 and all(m.count() < 28 * 300 for m in made)
 
 
 def test_chains_and_unlinked_buckets(spark):
