@@ -76,8 +76,16 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, True) - i).astype(U64) << U64(self.width)) | self._low(i)
 
+    def _buckets(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each high part, how many values have a smaller one, and how many one that is no greater."""
+        if 16 * len(high) < self.n:
+            return self._below(high), self._below(high + 1)
+        # For many questions at once the bitmap's zeros are laid out for the time of the call.
+        zeros = np.flatnonzero(np.unpackbits(self.high, bitorder="little") == 0)
+        below = zeros - np.arange(len(zeros))
+        return np.where(high > 0, below[np.maximum(high, 1) - 1], 0), below[high]
+
     def _below(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a smaller high part."""
         out = np.where(high > self.highest, self.n, 0)
         some = (high > 0) & (high <= self.highest)
         if some.any():
@@ -86,11 +94,16 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The index of the first value that is at least x; n if there is none."""
+        return self.find(x)[0]
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """successor(x), and whether the value there is x itself."""
         x = x.astype(U64)
         if not self.n:
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = np.minimum((x >> U64(self.width)).astype(np.int64), self.highest + 1)
-        lo, hi = self._below(high), self._below(high + 1)
+        lo, end = self._buckets(high)
+        hi = end.copy()
         low = x & U64((1 << self.width) - 1) if self.width else np.zeros(len(x), U64)
         live = np.flatnonzero(lo < hi)
         while len(live):
@@ -99,7 +112,10 @@ class EliasFano:
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
-        return lo
+        hit = lo < end
+        at = np.flatnonzero(hit)
+        hit[at] = self._low(lo[at]) == low[at]
+        return lo, hit
 
 
 def mapped(**arrays: np.ndarray) -> dict[str, np.ndarray]:

@@ -32,6 +32,41 @@ class Chunk:
         self.buf, self.offs = flat(texts)
 
 
+def dealt(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
+    """Runs of rows with about size bytes of text, each with a number that no other task gives."""
+    number, held, have = TaskContext.get().partitionId() << 32, [], 0
+    for b in batches:
+        _, offs = flat(b.column(b.schema.get_field_index("text")))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + size - have, "right")) - 1)
+            j = min(j, b.num_rows)
+            held.append(b.slice(i, j - i))
+            have += int(offs[j] - offs[i])
+            i = j
+            if have >= 0.75 * size:
+                yield number, pa.Table.from_batches(held).combine_chunks()
+                number, held, have = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks()
+
+
+class Bucketed:
+    """Rows in buckets by chunk in the shared folder, so that cogroups by chunk read them where they lie."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.name = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.path = new_path(self.spark, name)
+        df.write.option("path", self.path).option("compression", "zstd").bucketBy(partitions(self.spark), "chunk").saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """Deletes rows that a later stored table has made superfluous."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Chunks:
     """Documents (id long, text, flag boolean, and extra columns as strings) in chunks of about size bytes, in the shared folder."""
 
@@ -40,37 +75,14 @@ class Chunks:
         more = [f"x{i}" for i in range(len(extra or []))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            task, k = TaskContext.get().partitionId() << 32, 0
-            held, have = [], 0
-
-            def row() -> pa.RecordBatch:
-                nonlocal k
-                t = pa.Table.from_batches(held).combine_chunks()
+            for number, t in dealt(batches, size):
                 n = pa.array([0, len(t)], pa.int32())
-                k += 1
                 one = lambda c: pa.ListArray.from_arrays(n, t[c].combine_chunks())
-                return pa.RecordBatch.from_arrays([pa.array([task + k - 1], pa.int64()), one("id"), one("flag"), one("text"), *map(one, more)], names=["chunk", "ids", "flags", "texts", *more])
-
-            for b in batches:
-                _, offs = flat(b.column(b.schema.get_field_index("text")))
-                i = 0
-                while i < b.num_rows:
-                    j = max(i + 1, int(np.searchsorted(offs, offs[i] + size - have, "right")) - 1)
-                    j = min(j, b.num_rows)
-                    held.append(b.slice(i, j - i))
-                    have += int(offs[j] - offs[i])
-                    i = j
-                    if have >= 0.75 * size:
-                        yield row()
-                        held, have = [], 0
-            if held:
-                yield row()
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one("id"), one("flag"), one("text"), *map(one, more)], names=["chunk", "ids", "flags", "texts", *more])
 
         chunked = docs.select("id", "flag", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(n) for c, n in zip(extra or [], more)])
         chunked = chunked.mapInArrow(run, "chunk long, ids array<long>, flags array<boolean>, texts array<string>" + "".join(f", {n} array<string>" for n in more))
-        name = f"chunks_{uuid.uuid4().hex}"
-        chunked.write.option("path", new_path(spark, "chunks")).option("compression", "zstd").bucketBy(partitions(spark), "chunk").saveAsTable(name)
-        self.table = spark.table(name)
+        self.table = Bucketed(chunked, "chunks").table
 
     def send(self, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]]) -> DataFrame:
         """(shard, chunk, body) rows of what ask yields for each chunk."""
