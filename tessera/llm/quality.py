@@ -15,6 +15,8 @@ from .common import LOWER, SPACE, each_slice, flat, slices, span_hash, windows,
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+#: Characters of each sampled text on which rules are timed.
+SAMPLE_CHARS = 20_000
 #: Stop words of four languages, fixed values.
 STOP = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all"
@@ -131,18 +133,6 @@ class Text:
         """Words that are stop words of one of four languages."""
         return self._once("n_stop", lambda: self.per_doc(self.words[2][np.isin(span_hash(LOWER[self.buf], *self.words[:2]), _stop())]))
 
-    @property
-    def longest(self):
-        """Bytes of the longest word."""
-
-        def make():
-            start, end, doc = self.words
-            out = np.zeros(self.n, np.int64)
-            np.maximum.at(out, doc, end - start)
-            return out
-
-        return self._once("longest", make)
-
     @property
     def n_alpha(self):
         """Bytes of letters, where all bytes beyond ASCII count as such."""
@@ -212,7 +202,7 @@ def sample_order(df: DataFrame, text_col: str, rules: list[Rule], rows: int, spa
     """Order of rules from a sample of about rows documents. It changes what is computed, never a verdict."""
     n = df.count()
     share = min(1.0, 2.0 * rows / max(1, n))
-    texts = [r[0] for r in df.select(F.substring(F.col(text_col), 1, 20_000)).sample(share, spark_seed).limit(rows).collect()]
+    texts = [r[0] for r in df.select(F.substring(F.col(text_col), 1, SAMPLE_CHARS)).sample(share, spark_seed).limit(rows).collect()]
     return cascade_order(measured(texts, rules))
 
 
@@ -245,37 +235,32 @@ def verdicts(buf: np.ndarray, offs: np.ndarray, rules: list[Rule]) -> np.ndarray
 def quality(df: DataFrame, id_col: str, text_col: str, rules: list[Rule] | None = None, sample_rows: int = 512) -> DataFrame:
     """Base measures and the cascade's verdict on every whole text.
 
-    Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and rejected_by (the
-    first rule of the cascade that rejects, null if kept). Null text: no words, so base_failed. The sample (at most
-    sample_rows texts, a documented bound) only orders the rules; kept does not depend on it. Repeated rows each get a
+    Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept. Null text: no words, so
+    base_failed. The sample (at most sample_rows texts, a documented bound, and of each what SAMPLE_CHARS allows) only
+    orders the rules by measured seconds, so the rule that rejects a text first is not told; kept does not depend on it. Repeated rows each get a
     row, an empty table gives none, other columns are not read. One narrow pass without a shuffle."""
     rules = further_rules() if rules is None else rules
     order = sample_order(df, text_col, rules, sample_rows)
     by_name = {r.name: r for r in rules}
     kind = df.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
+    names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         chain = [by_name[n] for n in order]
-        labels = np.array([*(r.name for r in chain), None], object)
         for part, buf, offs in each_slice(batches, "t", 2 << 20):
             t = Text(buf, offs)
             failed = np.zeros(t.n, bool)
-            why = np.full(t.n, None, object)
             for r in base_rules():
-                bad = r.rejects(t)
-                why[bad & ~failed] = r.name
-                failed |= bad
+                failed |= r.rejects(t)
             rest = np.flatnonzero(~failed)
             first = np.full(t.n, -1)
             if len(rest):
                 first[rest] = verdicts(*part_of(buf, offs, rest), chain) if len(rest) < t.n else verdicts(buf, offs, chain)
-            why[first >= 0] = labels[first[first >= 0]]
             counts = [pa.array(x, pa.int64()) for x in (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(failed), pa.array(~failed & (first < 0)), pa.array(why, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(failed), pa.array(~failed & (first < 0))], names=names)
 
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 def keep_good(df: DataFrame, id_col: str, text_col: str, sample_rows: int = 512) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import knn, minhash, mixing, ngram, packing, quality, substring, token_counts, toxicity, warc
+from . import knn, minhash, mixing, ngram, oracles, packing, quality, substring, token_counts, toxicity, warc
 from .common import new_path
 
 BPE = "byte_bpe_50k.json"
@@ -76,4 +76,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
