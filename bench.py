@@ -31,9 +31,9 @@ def main() -> None:
         queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
     e = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
-    figures = {"batch_knn_queries": e.where("vec_id < 50").count(), "vectors": e.count()}
+    figures = {"batch_knn_queries": e.where("vec_id % 20 = 0").count(), "vectors": e.count()}
     figures["batch_knn_qps"] = round(figures["batch_knn_queries"] / took["knn_batch_l2"], 1)
-    figures["batch_recall_qps"] = round(e.where("vec_id < 100").count() / took["recall_batch"], 1)
+    figures["batch_recall_qps"] = round(figures["batch_knn_queries"] / took["recall_batch"], 1)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(SF_DIR.rstrip("/")), "figures": figures}))
 
 

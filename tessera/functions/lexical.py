@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = "[a-z0-9]+"
+TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
+    """Lower-cased runs of letters and digits of any script."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def query_terms(text: str | None) -> list[str]:
-    """Distinct terms of a query, in order; whatever the query holds, it never fails."""
-    return list(dict.fromkeys(re.findall(TOKEN, (text or "").lower())))
+    """Distinct terms of a query, in order, as tokens cuts texts; whatever the query holds, it never fails. _ and - part terms."""
+    return list(dict.fromkeys("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in (text or "").lower()).split()))
 
 
 def query_words(text: str | None) -> list[str]:

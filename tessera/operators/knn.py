@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from ..errors import EngineError, invalid
 from ..functions.vectors import block, distance, metric_name, vector
 
-#: Queries that are broadcast at once; more are answered block by block.
-QUERY_BLOCK = 4096
+#: Queries that are broadcast at once, and in a block when there are more; vectors in a block then.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 1 << 16
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", where: Column | None = None, id_col: str = "id", vec_col: str = "embedding", kind: str = "double") -> DataFrame:
@@ -33,56 +33,90 @@ def distance_to(vectors: DataFrame, vec_id: int, query: list[float], metric: str
     return vectors.where(F.col(id_col) == vec_id).select(id_col, distance(metric, F.col(vec_col), vector(query)).alias("distance"))
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding") -> DataFrame:
-    """query_id, rank, id, distance for the k nearest rows of each query.
+def _best(metric: str, like: float | None, ids: np.ndarray, x: np.ndarray, bonus: np.ndarray, q: np.ndarray, k: int, best=None):
+    """The k first ids, keys and distances of each query (columns) by (key, id) among rows x and the best so far.
 
-    Queries come in blocks of at most QUERY_BLOCK, broadcast as one matrix. Each batch of vectors meets a block in matrix
-    products and leaves its k best a query, so what is shuffled grows with batches x queries x k, not with the vectors."""
+    The key is the distance, or with like the negated score like * clamp(1 - distance / 2) + bonus."""
+    for s in range(0, len(x), 4096):
+        d = block(metric, x[s : s + 4096], q)
+        key = d if like is None else -(like * np.clip(1 - d / 2, 0, 1) + bonus[s : s + 4096, None])
+        i = np.broadcast_to(ids[s : s + 4096, None], d.shape)
+        if best is not None:
+            key, i, d = (np.concatenate(pair) for pair in zip(best, (key, i, d)))
+        if len(d) > k:
+            order = np.lexsort((i, key), axis=0)[:k]
+            key, i, d = (np.take_along_axis(a, order, 0) for a in (key, i, d))
+        best = key, i, d
+    return best
+
+
+def _matrix(column: pa.Array, n: int, dims: int | None = None) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if n and (len(x) % n or dims is not None and len(x) != n * dims):
+        raise ValueError("DimensionMismatch: vectors and queries differ in their dimensions")
+    return x.reshape(n, -1) if n else np.zeros((0, dims or 0))
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding", like: float | None = None, bonus: Column | None = None) -> DataFrame:
+    """query_id, rank, id, distance for the k nearest rows of each query, exactly, or with like and bonus the k rows with the
+    highest like * clamp(1 - distance / 2) + bonus, bonus being a Column of vectors.
+
+    Up to QUERY_BLOCK queries are broadcast as one matrix, and vectors are not shuffled: each task leaves its k best a query.
+    More queries are cut into blocks by the hash of their ids, vectors too, and each pair of blocks is one matrix product in
+    one task, so neither side meets in one place. Null vectors take no part."""
     metric = metric_name(metric)
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance double")
-    asked, out = [(int(r[0]), r[1]) for r in queries.select(query_id, query_vec).toLocalIterator()], None
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("v is not null")
-    for a in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = asked[a : a + QUERY_BLOCK]
-        dims = {len(v) for _, v in part}
-        if len(dims) > 1:
-            raise EngineError("DimensionMismatch", "queries differ in their dimensions")
-        ids = np.array([i for i, _ in part], np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in part], np.float64).reshape(len(part), -1)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best: tuple[np.ndarray, np.ndarray] | None = None
-            for b in batches:
-                v = b.column("v")
-                if not b.num_rows or not len(ids):
-                    continue
-                x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(x) != b.num_rows * q.shape[1]:
-                    raise ValueError("DimensionMismatch: vectors and queries differ in their dimensions")
-                key = b.column("id").to_numpy()
-                x = x.reshape(b.num_rows, q.shape[1])
-                for s in range(0, len(x), 4096):
-                    d = block(metric, x[s : s + 4096], q)
-                    i = np.broadcast_to(key[s : s + 4096, None], d.shape)
-                    if best is not None:
-                        d, i = np.concatenate([best[0], d]), np.concatenate([best[1], i])
-                    if len(d) > k:  # keep ties with the k-th, then order by id
-                        order = np.lexsort((i, d), axis=0)[:k]
-                        d, i = np.take_along_axis(d, order, 0), np.take_along_axis(i, order, 0)
-                    best = d, i
-            if best is not None:
-                d, i = best
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[None], len(d), 0).ravel()), pa.array(np.ascontiguousarray(i).ravel()), pa.array(np.ascontiguousarray(d).ravel())], names=["query_id", "id", "distance"])
-
-        got = rows.mapInArrow(run, "query_id long, id long, distance double")
-        out = got if out is None else out.unionAll(got)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("q")).where("q is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), (F.lit(0.0) if bonus is None else bonus).cast("double").alias("bonus")).where("v is not null")
+    first = asked.limit(QUERY_BLOCK + 1).collect()
+    out = _broadcast_top_k(rows, first, k, metric, like) if len(first) <= QUERY_BLOCK else _blocked_top_k(rows, asked, k, metric, like)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("key", "id"))
     return out.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+BEST = "query_id long, id long, key double, distance double"
+
+
+def _flat(ids: np.ndarray, best) -> list[pa.Array]:
+    key, i, d = best
+    return [pa.array(np.repeat(ids[None], len(d), 0).ravel()), *(pa.array(np.ascontiguousarray(a).ravel()) for a in (i, key, d))]
+
+
+def _broadcast_top_k(rows: DataFrame, asked: list, k: int, metric: str, like: float | None) -> DataFrame:
+    if len({len(r["q"]) for r in asked}) > 1:
+        raise EngineError("DimensionMismatch", "queries differ in their dimensions")
+    ids = np.array([r["query_id"] for r in asked], np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast((ids, np.array([r["q"] for r in asked], np.float64).reshape(len(asked), -1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, q), best = sent.value, None
+        for b in batches:
+            if b.num_rows and len(ids):
+                best = _best(metric, like, b.column("id").to_numpy(), _matrix(b.column("v"), b.num_rows, q.shape[1]), b.column("bonus").to_numpy(), q, k, best)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays(_flat(ids, best), names=["query_id", "id", "key", "distance"])
+
+    return rows.mapInArrow(run, BEST)
+
+
+def _blocked_top_k(rows: DataFrame, asked: DataFrame, k: int, metric: str, like: float | None) -> DataFrame:
+    many, all_rows = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-rows.count() // VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("i", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int")).withColumn("j", every(all_rows))
+    right = rows.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(all_rows)).cast("int")).withColumn("i", every(many))
+
+    def run(mine: pa.Table, other: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "key", "distance"]
+        if not len(mine) or not len(other):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+        q = _matrix(mine["q"].combine_chunks(), len(mine))
+        x = _matrix(other["v"].combine_chunks(), len(other), q.shape[1])
+        return pa.table(_flat(mine["query_id"].to_numpy(), _best(metric, like, other["id"].to_numpy(), x, other["bonus"].to_numpy(), q, k)), names=names)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, BEST)
+
+
 def centroids(vectors: DataFrame, vec_col: str, lists: int, sample: int = 20_000, rounds: int = 8, id_col: str = "id") -> np.ndarray:
     """List centres by k-means on a bounded sample (by hash order of ids)."""
     rows = vectors.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vec_col).collect()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import filters, scoring
@@ -36,43 +35,59 @@ def lexical_candidates(memories: DataFrame, r: Recall, most: int) -> DataFrame:
     return best.select(F.col("id").alias("fid"), rank.alias("fts_rank"))
 
 
+#: How many doublings of the candidate list one look at the nearest rows covers.
+PROBED = 5
+
+
 def candidates(memories: DataFrame, r: Recall, limit: int) -> DataFrame:
     """Eligible rows of the candidate pool with distance, vec_rank and fts_rank.
 
     The pool is what widening by doubling ends with on an exact index: the list of nearest live vectors of all tenants
-    doubles from 3 * limit until it and the lexical hits hold limit eligible rows. The length follows from the rank of the
-    limit-th eligible row, so two aggregates and one top-n replace the loop, and no window spans all rows."""
+    doubles from 3 * limit until it and the lexical hits hold limit eligible rows. One look at the nearest
+    3 * limit * 2^PROBED rows (ids, distances and whether eligible) mostly settles the length; else it follows from the rank
+    of the limit-th eligible row, by two aggregates and one top-n."""
     ok = filters.eligible(r.scope, r.filters, r.now_ms)
     first = 3 * limit
     live = memories.where(F.col("status") == "active").withColumn("distance", cosine(F.col("embedding"), vector(r.embedding)))
-    hits = None
+    spark, hits = memories.sparkSession, []
     if query_terms(r.text):
-        hits = lexical_candidates(memories, r, first)
-        live = live.join(F.broadcast(hits), F.col("id") == F.col("fid"), "left").drop("fid")  # at most 3 * limit rows
+        hits = [tuple(h) for h in lexical_candidates(memories, r, first).collect()]  # at most 3 * limit rows
+    if hits:
+        listed = spark.createDataFrame(hits, T.StructType([T.StructField("fid", memories.schema["id"].dataType), T.StructField("fts_rank", T.IntegerType())]))
+        live = live.join(F.broadcast(listed), F.col("id") == F.col("fid"), "left").drop("fid")
     else:
         live = live.withColumn("fts_rank", F.lit(None).cast("int"))
     if r.mode == "exact":
         return live.where(ok).withColumn("vec_rank", F.lit(1))
-    need = limit - (live.where(ok & F.col("fts_rank").isNotNull()).count() if hits is not None else 0)
-    n: int | None = first
+    most = first << PROBED
+    seen = live.select("distance", "id", F.coalesce(ok, F.lit(False)).alias("ok"), "fts_rank")
+    near = seen.orderBy("distance", "id").limit(most).withColumn("near", F.lit(True))
+    if hits:
+        near = near.unionByName(seen.where("fts_rank is not null").withColumn("near", F.lit(False)))
+    got = near.collect()
+    need = limit - sum(x["ok"] for x in got if not x["near"])
+    top = sorted((x for x in got if x["near"]), key=lambda x: (x["distance"] is not None, x["distance"] or 0.0, x["id"]))
+    n, have = first, 0
     if need > 0:
+        at = next((k for k, x in enumerate(top) if x["ok"] and x["fts_rank"] is None and (have := have + 1) == need), None)
+        n = width(first, at + 1) if at is not None else None
+    if n is None and len(top) == most:
         last = live.where(ok & F.col("fts_rank").isNull()).select("distance", "id").orderBy("distance", "id").limit(need)
-        got = last.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("distance", "id")).alias("last")).first()
-        if got["n"] < need:
-            n = None  # fewer eligible rows than asked for: every one is in the pool
-        else:
-            d, i = got["last"]
+        end = last.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("distance", "id")).alias("last")).first()
+        if end["n"] == need:
+            d, i = end["last"]
             n = width(first, live.where((F.col("distance") < d) | ((F.col("distance") == d) & (F.col("id") <= i))).count())
-    if n is None:
+    if n is None:  # fewer eligible rows than asked for: every one is in the pool
         return live.where(ok).withColumn("vec_rank", F.lit(1))
+    if n <= len(top) or len(top) < most:
+        pool = {x["id"]: None for x in got if not x["near"] and x["ok"]} | {x["id"]: k + 1 for k, x in enumerate(top[:n]) if x["ok"]}
+        ranks = spark.createDataFrame(sorted(pool.items(), key=lambda x: x[0]), T.StructType([T.StructField("nid", memories.schema["id"].dataType), T.StructField("vec_rank", T.IntegerType())]))
+        return live.join(F.broadcast(ranks), F.col("id") == F.col("nid")).drop("nid")
     near = live.select("distance", "id").orderBy("distance", "id").limit(n)
     ranks = near.select(F.col("id").alias("nid"), F.row_number().over(W.orderBy("distance", "id")).alias("vec_rank"))
     edge = near.agg(F.max(F.struct("distance", "id")).alias("last")).first()["last"]
-    pool = live.where(ok)
-    if edge is not None:
-        inside = (F.col("distance") < edge[0]) | ((F.col("distance") == edge[0]) & (F.col("id") <= edge[1]))
-        pool = pool.where(inside | F.col("fts_rank").isNotNull())
-    return pool.join(ranks, F.col("id") == F.col("nid"), "left").drop("nid")
+    inside = (F.col("distance") < edge[0]) | ((F.col("distance") == edge[0]) & (F.col("id") <= edge[1]))
+    return live.where(ok).where(inside | F.col("fts_rank").isNotNull()).join(ranks, F.col("id") == F.col("nid"), "left").drop("nid")
 
 
 def scored(pool: DataFrame, r: Recall) -> DataFrame:
@@ -121,21 +136,20 @@ def recall(memories: DataFrame, r: Recall, dims: int | None = None, max_limit: i
     return best.withColumn("total_candidates", F.count(F.lit(1)).over(W.partitionBy()))
 
 
-def recall_many(memories: DataFrame, requests: list[Recall]) -> Iterator[DataFrame]:
-    """One frame a request; each plans for itself, as its filters do."""
-    for r in requests:
-        yield recall(memories, r)
-
+def batch_vector_recall(memories: DataFrame, queries: DataFrame, r: Recall) -> DataFrame:
+    """Vector recall for many queries of one scope: of all eligible rows the best limit of each query by score, exactly.
 
-def batch_vector_recall(memories: DataFrame, queries: DataFrame, r: Recall, pool: int = 100) -> DataFrame:
-    """Vector recall for many queries of one scope: exact top `pool` eligible rows of each, then the score's best limit."""
+    All factors but likeness depend on the row alone, so the score is a weight times likeness plus a number of the row, and
+    the search ranks by it; no pool of nearest rows bounds it."""
     from .knn import batch_top_k
 
     ok = memories.where(filters.eligible(r.scope, r.filters, r.now_ms))
-    near = batch_top_k(ok, queries, max(pool, r.limit), "cosine")
-    rows = near.join(ok.select(F.col("id").alias("mid"), "importance", "created_at_ms", "access_count"), F.col("id") == F.col("mid")).drop("mid", "rank")
+    factors = scoring.factors(F.lit(2.0), r.now_ms, r.scoring)  # at this distance likeness is 0
+    fixed = ok
+    for name, c in factors.items():
+        fixed = fixed.withColumn(name, c)
+    near = batch_top_k(fixed, queries, r.limit, "cosine", like=r.scoring.similarity, bonus=scoring.total(r.scoring))
+    rows = near.join(ok.select(F.col("id").alias("mid"), "importance", "created_at_ms", "access_count"), F.col("id") == F.col("mid")).drop("mid")
     for name, c in scoring.factors(F.col("distance"), r.now_ms, r.scoring).items():
         rows = rows.withColumn(name, c)
-    rows = rows.withColumn("score", scoring.total(r.scoring))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= r.limit).select("query_id", "rank", "id", "score")
+    return rows.withColumn("score", scoring.total(r.scoring)).select("query_id", "rank", "id", "score")

@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -49,18 +50,42 @@ class Files:
 
     def write_json(self, path: str, value: dict) -> None:
         """Written beside its place, then moved there in one step."""
+        self._moved(path, value, "OVERWRITE")
+
+    def create_json(self, path: str, value: dict) -> bool:
+        """As write_json, but False where the name is taken: of several writers one gets it, on file systems whose rename
+        refuses an existing name in one step (HDFS does)."""
+        try:
+            self._moved(path, value, "NONE")
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def _moved(self, path: str, value: dict, how: str) -> None:
         fs, p = self._at(path)
-        _, tmp = self._at(f"{path}.{uuid.uuid4().hex}")
+        _, tmp = self._at(f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
         stream = fs.create(tmp, True)
         try:
             stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             stream.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf)
-        option = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self._jvm.java.lang.reflect.Array.newInstance(option.OVERWRITE.getClass(), 1)
-        options[0] = option.OVERWRITE
-        context.rename(tmp, p, options)
+        option = getattr(self._jvm.org.apache.hadoop.fs.Options.Rename, how)
+        options = self._jvm.java.lang.reflect.Array.newInstance(option.getClass(), 1)
+        options[0] = option
+        try:
+            context.rename(tmp, p, options)
+        except Py4JJavaError:
+            fs.delete(tmp, False)
+            raise
+
+    def old_names(self, path: str, grace_ms: int) -> list[str]:
+        """Names whose last change is at least grace_ms ago."""
+        fs, p = self._at(path)
+        now = self._jvm.System.currentTimeMillis()
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if now - s.getModificationTime() >= grace_ms) if fs.exists(p) else []
 
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)

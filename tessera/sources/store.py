@@ -1,7 +1,8 @@
-"""The memory store: immutable parquet versions under a folder, and a manifest that one rename replaces.
+"""The memory store: immutable parquet versions under a folder, and numbered manifests of which the last one holds.
 
-A write adds a delta of full row versions and of journal entries and then commits the manifest, so a reader sees all of a
-batch or nothing. Reading takes the newest version of each row with a map-side maximum. Compaction writes a new base,
+A write adds a delta of full row versions and of journal entries and then commits the next manifest under a name that only
+one writer can take, so a reader sees all of a batch or nothing and no commit is lost. Superseded files stay for readers
+that have planned on them, until clean_up. Reading takes the newest version of each row with a map-side maximum. Compaction writes a new base,
 partitioned by tenant and namespace, so a scoped query reads its own folders only.
 """
 
@@ -42,7 +43,7 @@ class MemoryStore:
         self.lexical_mode = lexical_mode or ("disabled" if keys else "plaintext")
         crypto.check_lexical_mode(self.lexical_mode, keys is not None)
         self.files = Files(spark)
-        m = self.files.read_json(f"{self.path}/manifest.json")
+        m = self._latest()
         if m is None:
             m = {"schema_version": SCHEMA_VERSION, "dims": dims, "model": model, "scheme": "none", "commit": 0, "rows": [], "journal": [], "counts": {}}
         if m["schema_version"] != SCHEMA_VERSION:
@@ -60,12 +61,15 @@ class MemoryStore:
 
     # ------------------------------------------------ versions
 
+    def _latest(self) -> dict | None:
+        names = [n for n in self.files.names(f"{self.path}/commits") if not n.startswith(("_", "."))]
+        return self.files.read_json(f"{self.path}/commits/{names[-1]}") if names else None
+
     def _commit(self) -> None:
-        now = self.files.read_json(f"{self.path}/manifest.json")
-        if now is not None and now["commit"] != self.manifest["commit"]:
+        m = self.manifest | {"commit": self.manifest["commit"] + 1}
+        if not self.files.create_json(f"{self.path}/commits/{m['commit']:012d}.json", m):
             raise EngineError("StoreBusy", "another writer has committed")
-        self.manifest["commit"] += 1
-        self.files.write_json(f"{self.path}/manifest.json", self.manifest)
+        self.manifest = m
 
     def _newest(self, kind: str, schema: T.StructType, key: list[str]) -> DataFrame:
         names = self.manifest[kind]
@@ -93,8 +97,9 @@ class MemoryStore:
     def operations(self) -> DataFrame:
         return self._newest("journal", JOURNAL, OP_KEY).drop("version")
 
-    def _write(self, rows: DataFrame | None, ops: list[tuple] | None = None) -> None:
-        """One commit: full rows (columns of ROWS without version and purged, or with purged), and journal entries."""
+    def _write(self, rows: DataFrame | None, ops: list[tuple] | DataFrame | None = None) -> None:
+        """One commit: full rows (columns of ROWS without version and purged, or with purged), and journal entries, as tuples
+        or as a frame in the columns of OPERATIONS."""
         version = self.manifest["commit"] + 1
         tag = f"{version}-{uuid.uuid4().hex[:12]}"
         m = json.loads(json.dumps(self.manifest))
@@ -105,8 +110,9 @@ class MemoryStore:
             out.write.parquet(f"{self.path}/delta-{tag}")
             m["rows"].append(f"delta-{tag}")
             m["counts"][f"delta-{tag}"] = self.spark.read.schema(ROWS).parquet(f"{self.path}/delta-{tag}").count()
-        if ops:
-            self.spark.createDataFrame([(*o, version) for o in ops], JOURNAL).coalesce(1).write.parquet(f"{self.path}/ops-{tag}")
+        if ops is not None and (isinstance(ops, DataFrame) or ops):
+            entries = ops if isinstance(ops, DataFrame) else self.spark.createDataFrame(ops, OPERATIONS).coalesce(1)
+            entries.withColumn("version", F.lit(version).cast("long")).select(*JOURNAL.names).write.parquet(f"{self.path}/ops-{tag}")
             m["journal"].append(f"ops-{tag}")
         before, self.manifest = self.manifest, m
         try:
@@ -118,20 +124,34 @@ class MemoryStore:
             self.compact()
 
     def compact(self) -> None:
-        """Merges all versions into a new base; older files stay until the next backup or clean-up."""
+        """Merges all versions into a new base; older files stay until clean_up."""
         tag = f"{self.manifest['commit'] + 1}-{uuid.uuid4().hex[:12]}"
-        old = list(self.manifest["rows"])
         self.stored().repartition("tenant_id", "namespace", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("tenant_id", "namespace").parquet(f"{self.path}/base-{tag}")
-        self.manifest["rows"] = [f"base-{tag}"]
-        self.manifest["counts"] = {f"base-{tag}": self.spark.read.schema(ROWS).parquet(f"{self.path}/base-{tag}").count()}
-        self._commit()
-        for name in old:
+        n = self.spark.read.schema(ROWS).parquet(f"{self.path}/base-{tag}").count()
+        before, self.manifest = self.manifest, self.manifest | {"rows": [f"base-{tag}"], "counts": {f"base-{tag}": n}}
+        try:
+            self._commit()
+        except EngineError:
+            self.manifest = before
+            raise
+
+    def clean_up(self, grace_ms: int = 3_600_000) -> int:
+        """Deletes files that the last commit does not name and that are older than a grace period, which must exceed the
+        longest read and write; returns how many."""
+        kept = {*self.manifest["rows"], *self.manifest["journal"]}
+        gone = [n for n in self.files.old_names(self.path, grace_ms) if n.startswith(("base-", "delta-", "ops-")) and n not in kept]
+        gone += [f"commits/{n}" for n in self.files.old_names(f"{self.path}/commits", grace_ms) if n != f"{self.manifest['commit']:012d}.json"]
+        for name in gone:
             self.files.delete(f"{self.path}/{name}")
+        return len(gone)
 
     def check_integrity(self) -> None:
-        for name, n in self.manifest["counts"].items():
-            if not self.files.exists(f"{self.path}/{name}") or self.spark.read.schema(ROWS).parquet(f"{self.path}/{name}").count() != n:
-                raise EngineError("CorruptStore", "stored rows are missing")
+        """All files of the manifest are there with the rows it counts, by the footers of all of them in one job."""
+        counts = self.manifest["counts"]
+        if not all(self.files.exists(f"{self.path}/{n}") for n in [*self.manifest["rows"], *self.manifest["journal"]]):
+            raise EngineError("CorruptStore", "stored files are missing")
+        if counts and self.spark.read.schema("version long").option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{n}" for n in counts]).count() != sum(counts.values()):
+            raise EngineError("CorruptStore", "stored rows are missing")
 
     # ------------------------------------------------ writing
 
@@ -166,21 +186,28 @@ class MemoryStore:
             return None
         return self.operations().where((F.col("tenant_id") == scope.tenant_id) & (F.col("namespace") == scope.namespace) & (F.col("operation_id") == operation_id)).first()
 
+    def _known(self, requests: list[Remember]) -> dict[tuple, tuple]:
+        """(memory id, payload) of those requests' operations that the journal holds, from one join; at most one a request."""
+        keys = {(r.scope.tenant_id, r.scope.namespace, r.operation_id) for r in requests if r.operation_id is not None}
+        if not keys or not self.manifest["journal"]:
+            return {}
+        wanted = F.broadcast(self.spark.createDataFrame(sorted(keys), "tenant_id string, namespace string, operation_id string"))
+        return {tuple(o[k] for k in OP_KEY): (o["memory_id"], o["payload_json"]) for o in self.operations().join(wanted, OP_KEY, "left_semi").collect()}
+
     def remember(self, r: Remember, now_ms: int) -> str:
         """Stores a memory. The same operation id with the same content and embedding gives the same memory."""
         return self.remember_batch([r], now_ms)[0]
 
     def remember_batch(self, requests: list[Remember], now_ms: int) -> list[str]:
         """All or nothing, in one commit; operation ids are honoured as for single writes."""
-        ids, records, ops, seen = [], [], [], {}
+        ids, records, ops = [], [], []
         for r in requests:
             r.validate(self.dims)
+        seen = self._known(requests)
         for r in requests:
             key = (r.scope.tenant_id, r.scope.namespace, r.operation_id)
             payload = self._payload(r)
-            known = seen.get(key) if r.operation_id else None
-            if known is None and (op := self._operation(r.scope, r.operation_id)):
-                known = op["memory_id"], op["payload_json"]
+            known = seen.get(key) if r.operation_id is not None else None
             if known is not None:
                 if known[1] != payload:
                     raise invalid("the operation id was used with another payload")
@@ -189,7 +216,7 @@ class MemoryStore:
             record = self._record(r, now_ms)
             ids.append(record["id"])
             records.append(record)
-            if r.operation_id:
+            if r.operation_id is not None:
                 seen[key] = record["id"], payload
                 ops.append((*key, record["id"], "remember", payload, "applied", now_ms, now_ms))
         if records:
@@ -253,11 +280,20 @@ class MemoryStore:
 
     def recover(self) -> int:
         """Pending rows become active, also those written without an operation, and pending operations applied."""
-        rows = self.stored().where("status = 'pending'")
-        ops = [tuple(o) for o in self.operations().where("state = 'pending'").orderBy("created_at_ms").select(*[f.name for f in OPERATIONS]).collect()]
+        rows, ops = self.stored().where("status = 'pending'"), self.operations().where("state = 'pending'")
         n = rows.count() if self.manifest["rows"] else 0
-        if n or ops:
-            self._write(rows.withColumn("status", F.lit("active")) if n else None, [(*o[:6], "applied", o[7], o[7]) for o in ops])
+        some = bool(self.manifest["journal"]) and not ops.isEmpty()
+        if n or some:
+            done = ops.withColumns({"state": F.lit("applied"), "applied_at_ms": F.col("created_at_ms")}) if some else None
+            self._write(rows.withColumn("status", F.lit("active")) if n else None, done)
+        return n
+
+    def mark_applied(self, scope: Scope, operation_ids: list[str], now_ms: int) -> int:
+        """Marks a scope's operations as applied, in one commit; returns how many were pending."""
+        ops = self.operations().where((F.col("tenant_id") == scope.tenant_id) & (F.col("namespace") == scope.namespace) & F.col("operation_id").isin(list(operation_ids)) & (F.col("state") == "pending"))
+        n = ops.count()
+        if n:
+            self._write(None, ops.withColumns({"state": F.lit("applied"), "applied_at_ms": F.lit(now_ms).cast("long")}))
         return n
 
     def set_status(self, scope: Scope, ids: list[str], status: str) -> None:
@@ -273,6 +309,7 @@ class MemoryStore:
         if n:
             self._write(rows.withColumn("purged", F.lit(True)).withColumn("content", F.lit(None).cast("string")))
             self.compact()
+            self.clean_up()
         return n
 
     def rebuild_index(self) -> int:
@@ -311,7 +348,7 @@ class MemoryStore:
         self.files.delete(to)
         for name in [*m["rows"], *m["journal"]]:
             self.files.copy(f"{self.path}/{name}", f"{to.rstrip('/')}/{name}")
-        self.files.write_json(f"{to.rstrip('/')}/manifest.json", m)
+        self.files.write_json(f"{to.rstrip('/')}/commits/{m['commit']:012d}.json", m)
 
 
 class TextStore:
