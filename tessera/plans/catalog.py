@@ -14,6 +14,7 @@ from ..model import MemoryFilter, Recall, Scope, Scoring
 from ..operators import changes, context, knn, recall, search
 from ..sources import embed
 from ..streaming import feed
+from . import lifecycle
 from .view import DAY_MS, HOUR_MS, IDX, MEM, NOW_MS, START_MS, index, memories, q, sql_distance, table, vector_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,13 +315,13 @@ def tombstone_antijoin(spark, sf_dir):
 
 @query("SELECT max(vec_id) + 1 AS next_id FROM embeddings")
 def id_high_water_mark(spark, sf_dir):
-    return index(spark, sf_dir).agg((F.max("id") + 1).alias("next_id"))
+    return spark.createDataFrame([(changes.next_id(index(spark, sf_dir)),)], "next_id long")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def idempotent_ops_dedup(spark, sf_dir):
     ops = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    return ops.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return changes.first_seen(ops, ["user_id", "event_type"], ["event_id"])
 
 
 _patches_sql = "pt AS (SELECT vec_id AS pid, vec_id % 3 + 1 AS expected FROM embeddings WHERE vec_id % 9 = 0)"
@@ -342,20 +343,6 @@ def _merged(spark, sf_dir):
     return changes.merge(m, p, NOW_MS)
 
 
-@query(f"WITH {MEM} SELECT id, CASE WHEN id % 11 = 0 THEN 'deleted' ELSE status END AS status FROM mem")
-def forget_batch(spark, sf_dir):
-    m = memories(spark, sf_dir, False)
-    gone = m.where("id % 11 = 0").select(F.col("id").alias("gid"))
-    return m.join(gone, F.col("id") == F.col("gid"), "left").select("id", F.when(F.col("gid").isNotNull(), "deleted").otherwise(F.col("status")).alias("status"))
-
-
-@query("SELECT vec_id AS id, CASE WHEN vec_id % 6 = 1 THEN 'active' ELSE 'pending' END AS status FROM embeddings WHERE vec_id % 3 = 1")
-def recovery_pending(spark, sf_dir):
-    m = index(spark, sf_dir).where("id % 3 = 1").select("id", F.lit("pending").alias("status"))
-    ops = m.where("id % 6 = 1").select(F.col("id").alias("memory_id"))
-    return m.join(ops, F.col("id") == F.col("memory_id"), "left").select("id", F.when(F.col("memory_id").isNotNull(), "active").otherwise(F.col("status")).alias("status"))
-
-
 @query(f"WITH {MEM} SELECT count(*) FILTER (status = 'active') AS active_memories, count(*) FILTER (status = 'deleted') AS tombstoned_memories, CAST(0 AS BIGINT) AS pending_operations FROM mem")
 def health(spark, sf_dir):
     return changes.health(memories(spark, sf_dir, False))
@@ -379,8 +366,8 @@ def latency_percentiles(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | lifecycle.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | lifecycle.oracle_sql()
