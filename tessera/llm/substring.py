@@ -1,12 +1,15 @@
 """Substring deduplication by prefix-partitioned suffix trees, cut at the depth of one window.
 
 A suffix of a document, cut to its first 50 words, is a leaf; two suffixes meet in an internal node at depth 50 exactly if
-their windows are equal. The trees are split by prefixes: a prefix of one word, or more where many suffixes share it, gives
-a group that one task builds. Suffixes travel as 128-bit fingerprints of their windows, as the words themselves would be
-50 times the input; a maximal repeat is a run of windows that meet others.
-
-Before that, anchors sift out suffixes that cannot meet another: a window's anchor is the least fingerprint of the 8-word
-runs in it. Equal windows have equal anchors, so a window whose anchor no other document holds is unique.
+their windows are equal. Before trees are built, anchors sift out suffixes that cannot meet another: a window's anchor is the
+least fingerprint of the 8-word runs in it. Equal windows have equal anchors, so a window whose anchor no other document
+holds is unique.
+
+The rest travels as stretches of words: neighbouring windows mostly share their anchor, so a stretch goes to its anchor's
+shard once, with its words, instead of 50 times by the prefixes of its suffixes. A shard splits its suffixes by prefixes of
+one word, or of more where many suffixes share them, into groups of bounded size, and builds each group's subtree: suffixes
+sorted by words, and the length of the prefix that neighbours share, which lays out the internal nodes. A node at full depth
+is a repeat; maximal repeats are the runs of neighbouring windows that end in such nodes.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, partitions, span_hash, stored, windows, words
 from .exchange import ARROW_MESSAGE, MESSAGE, Chunk, Chunks, freed, messages, shard_bounds, solve
+from .packed import gaps, packed, summed, unpacked
 
-GRAM, BINS = 8, 4096
-#: Prefix lengths in words, and how many times the group size a first word's suffixes may be for each.
-DEPTHS = ((1, 1), (2, 16), (4, 256), (8, 1 << 20))
+GRAM = 8
 
 
 class Suffixes:
@@ -56,16 +58,6 @@ class Suffixes:
         other = mix(self.word ^ U64(0xA0761D6478BD642F))
         return windows(self.word, self.size)[at], windows(other, self.size)[at]
 
-    def groups(self, at: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """The fingerprint of the prefix of each suffix, whose length depends on its first word's bin."""
-        length = depth[(self.word[at] >> U64(52)).astype(np.int64)]
-        out = mix(self.word[at])
-        for d in np.unique(length):
-            if d > 1:
-                mine = length == d
-                out[mine] = mix(windows(self.word, min(int(d), self.size))[at[mine]])
-        return out
-
 
 def _lowest(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order of distinct keys: (row of each distinct key, its least id, its greatest id, distinct number of each row)."""
@@ -88,8 +80,9 @@ def _anchor_rows(c: Chunk, size: int):
     return s, a[row], low, high, number
 
 
-def _suffix_rows(c: Chunk, size: int, depth: np.ndarray, answers: list[tuple[int, bytes]], shards: int):
-    """Distinct windows of those suffixes whose anchors repeat: suffixes, their places, and keys by (shard, prints)."""
+def _suffix_rows(c: Chunk, size: int, answers: list[tuple[int, bytes]], shards: int):
+    """Of those suffixes whose anchors repeat: their places and ids, of distinct windows the row of one suffix, shard and
+    least id, by shard and place, and the distinct window of each suffix."""
     s, keys, _, _, number = _anchor_rows(c, size)
     bounds = shard_bounds(keys, shards)
     again = np.zeros(len(keys), bool)
@@ -97,11 +90,24 @@ def _suffix_rows(c: Chunk, size: int, depth: np.ndarray, answers: list[tuple[int
         n = bounds[shard + 1] - bounds[shard]
         again[bounds[shard] : bounds[shard + 1]] = np.unpackbits(np.frombuffer(body, np.uint8), count=n).astype(bool)
     live = np.flatnonzero(again[number]) if len(number) else np.zeros(0, np.int64)
-    at, ids = s.at[live], s.id[live]
-    a, b = s.prints(at)
-    shard = ((s.groups(at, depth) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
-    row, low, _, number = _lowest((shard, a, b), ids)
-    return s, at, ids, shard[row], a[row], b[row], low, number
+    at, ids, anchor = s.at[live], s.id[live], keys[number[live]] if len(live) else np.zeros(0, U64)
+    row, low, _, number = _lowest(s.prints(at), ids)
+    shard = ((mix(anchor[row]) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+    order = np.lexsort((row, shard))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return s, at, ids, row[order], shard[order], low[order], place[number]
+
+
+def _stretches(word: np.ndarray, at: np.ndarray, low: np.ndarray, size: int) -> bytes:
+    """Windows that start at the sorted places at, as stretches of neighbours: their lengths, words, and each window's id."""
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+    count = np.diff(np.append(first, len(at)))
+    wide = count + size - 1
+    idx = np.arange(int(wide.sum())) + np.repeat(at[first] - (np.cumsum(wide) - wide), wide)
+    words_, spot = np.unique(word[idx], return_inverse=True)
+    ids, which = np.unique(low, return_inverse=True)
+    return packed(count, gaps(words_), spot, gaps(ids), which)
 
 
 def _bit_answer(bodies: list[bytes], width: int, rule) -> tuple[list[bytes], None]:
@@ -124,20 +130,73 @@ def _repeats(every: np.ndarray) -> np.ndarray:
     return (low < high)[number]
 
 
-def _deep_nodes(every: np.ndarray) -> np.ndarray:
-    """Of the leaves (two prints, least id) of a group: whether the node in which one ends has a smaller id below it.
-
-    Sorting the leaves lays out the group's tree; a run of equal prints is a node at full depth."""
-    order = np.lexsort((every[2], every[1], every[0]))
-    a, b, low = every[0][order], every[1][order], every[2][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    least = low[np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(order), bool)
-    out[order] = least < low
+def ranks(word: np.ndarray, size: int) -> list[np.ndarray]:
+    """For 1, 2, 4, ... words up to size: the rank of the run of so many words from each place, in lexicographic order."""
+    out, k = [np.unique(word, return_inverse=True)[1]], 1
+    while 2 * k <= size:
+        after = np.zeros(len(word), np.int64)
+        after[: max(0, len(word) - k)] = out[-1][k:] + 1
+        out.append(np.unique(out[-1] * (len(word) + 2) + after, return_inverse=True)[1])
+        k *= 2
     return out
 
 
+def prefix_groups(at: np.ndarray, by: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """The suffixes that start at the places at, split by prefixes that grow until a group has at most `most` of them (or
+    the prefix is as long as by has it); neighbouring small groups go together."""
+    done, wide = [], [at]
+    for rank in by:
+        rest = []
+        for part in wide:
+            order = np.argsort(rank[part], kind="stable")
+            part, key = part[order], rank[part][order]
+            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            ends = np.append(cut, len(part))
+            i = 0
+            while i < len(cut):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, "right")) - 1)
+                (done if ends[j] - ends[i] <= most else rest).append(part[ends[i] : ends[j]])
+                i = j
+        wide = rest
+        if not wide:
+            break
+    return done + wide
+
+
+def subtree(at: np.ndarray, by: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in lexicographic order of their first size words, and how many words each shares with the one before."""
+    k = 1 << (len(by) - 1)
+    order = np.lexsort((by[-1][at + size - k], by[-1][at]))
+    leaf = at[order]
+    shared = np.zeros(len(leaf), np.int64)
+    for step, rank in reversed(list(enumerate(by))):
+        for _ in range(2 if step == len(by) - 1 else 1):
+            x, y = leaf[1:] + shared[1:], leaf[:-1] + shared[1:]
+            same = (shared[1:] + (1 << step) <= size) & (rank[np.minimum(x, len(rank) - 1)] == rank[np.minimum(y, len(rank) - 1)])
+            shared[1:] += same.astype(np.int64) << step
+    return leaf, shared
+
+
+def _deep_nodes(bodies: list[bytes], size: int, group: int) -> tuple[list[bytes], None]:
+    """Of each chunk's windows: whether the node at full depth in which one ends has a smaller id below it."""
+    parts = [unpacked(b) for b in bodies]
+    word = np.concatenate([summed(p[1])[p[2]] for p in parts])
+    low = np.concatenate([summed(p[3]).view(np.int64)[p[4]] for p in parts])
+    count = np.concatenate([p[0] for p in parts])
+    begin = np.cumsum(count + size - 1) - (count + size - 1)
+    at = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+    window = np.empty(len(word), np.int64)
+    window[at] = np.arange(len(at))
+    by, out = ranks(word, size), np.zeros(len(at), bool)
+    for part in prefix_groups(at, by, group):
+        leaf, shared = subtree(part, by, size)
+        node = np.flatnonzero(shared < size)  # a deep node begins where fewer words are shared
+        least = np.minimum.reduceat(low[window[leaf]], node)
+        out[window[leaf]] = np.repeat(least, np.diff(np.append(node, len(leaf)))) < low[window[leaf]]
+    ends = np.cumsum([len(p[4]) for p in parts])
+    return [np.packbits(x).tobytes() for x in np.split(out, ends[:-1])], None
+
+
 def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int = 1 << 20, with_text: bool = False, extra: list[str] | None = None) -> DataFrame:
     """Removes each word that lies in a window of size words whose sequence also starts in a document with a smaller id.
 
@@ -147,7 +206,7 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
     words. Rows that repeat an id are no smaller than each other, so they do not remove each other's words; a row with a
     null id counts as one with the greatest possible id. An empty table gives no rows.
 
-    group bounds the suffixes of one prefix group; first words with more get longer prefixes."""
+    group bounds the suffixes of one prefix group; prefixes with more grow longer."""
     spark = df.sparkSession
     none = np.iinfo(np.int64).max
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("flag"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(extra or [])])
@@ -162,51 +221,30 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
             a, b = bounds[k], bounds[k + 1]
             if a < b:
                 yield k, np.stack([keys[a:b].view(np.int64), low[a:b], high[a:b]]).tobytes()
-        first = np.bincount((s.word[s.at] >> U64(52)).astype(np.int64), minlength=BINS).astype(np.int64)
-        yield -1, first.tobytes()
-
-    asked = stored(chunks.send(ask_anchors), "anchors")
-
-    def by_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
-        for b in batches:
-            for body in b.column(0).to_pylist():
-                total += np.frombuffer(body, np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bin", "n"])
-
-    heavy = asked.where("shard < 0").select("body").mapInArrow(by_bin, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most BINS rows
-    depth = np.full(BINS, DEPTHS[0][0])
-    for r in heavy:
-        for d, times in DEPTHS:
-            depth[r["bin"]] = d
-            if r["n"] <= times * group:
-                break
-        else:
-            depth[r["bin"]] = size
-    again = stored(solve(asked.where("shard >= 0"), lambda bodies: _bit_answer(bodies, 3, _repeats)), "repeats")
+
+
+    again = stored(solve(chunks.send(ask_anchors), lambda bodies: _bit_answer(bodies, 3, _repeats)), "repeats")
     freed(spark)
 
     def ask_suffixes(c: Chunk, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        _, _, _, shard, a, b, low, _ = _suffix_rows(c, size, depth, answers, shards)
+        s, at, _, row, shard, low, _ = _suffix_rows(c, size, answers, shards)
         bounds = np.searchsorted(shard, np.arange(shards + 1))
 
         def parts() -> Iterator[tuple[int, bytes]]:
-            for k in range(shards):
+            for k in np.unique(shard).tolist():
                 i, j = bounds[k], bounds[k + 1]
-                if i < j:
-                    yield k, np.stack([a[i:j].view(np.int64), b[i:j].view(np.int64), low[i:j]]).tobytes()
+                yield k, _stretches(s.word, at[row[i:j]], low[i:j], size)
 
         yield from messages(c.number, parts())
 
     leaves = chunks.receive(again, ask_suffixes, MESSAGE, ARROW_MESSAGE)
-    nodes = solve(leaves, lambda bodies: _bit_answer(bodies, 3, _deep_nodes))
+    nodes = solve(leaves, lambda bodies: _deep_nodes(bodies, size, group))
     both = again.select((F.col("shard") * 2).alias("shard"), "chunk", "body").union(nodes.select((F.col("shard") * 2 + 1).alias("shard"), "chunk", "body"))
     names = ["id", "n_words", "n_removed", "kept_sha256", "n_spans", *further]
     arrow = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64()), *[(c, pa.string()) for c in further]])
 
     def cut(c: Chunk, got: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        s, at, ids, shard, _, _, low, number = _suffix_rows(c, size, depth, [(k // 2, b) for k, b in got if k % 2 == 0], shards)
+        s, at, ids, _, shard, low, number = _suffix_rows(c, size, [(k // 2, b) for k, b in got if k % 2 == 0], shards)
         bounds = np.searchsorted(shard, np.arange(shards + 1))
         smaller = np.zeros(len(low), bool)
         for k, body in got:

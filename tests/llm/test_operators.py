@@ -368,6 +368,25 @@ def test_substring_of_short_windows_and_long_prefixes(spark):
         same(map(tuple, got), brute.dedup(rows, size))
 
 
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_subtrees_lay_out_all_repeats(most):
+    """Leaves in order of their words, shared prefixes, and nodes at full depth against a plain comparison."""
+    r, size = random.Random(4), 11
+    word = np.array([r.choice("aab") == "a" for _ in range(300)] + [r.randint(0, 3) for _ in range(100)] * 2, np.uint64)
+    at, by = np.arange(len(word) - size + 1), substring.ranks(word, size)
+    text = [tuple(word[i : i + size].tolist()) for i in at]
+    groups, seen = substring.prefix_groups(at, by, most), {}
+    assert sorted(np.concatenate(groups).tolist()) == at.tolist()
+    for n, g in enumerate(groups):
+        leaf, shared = substring.subtree(g, by, size)
+        assert [text[i] for i in leaf] == sorted(text[i] for i in g)
+        for x, y, k in zip(leaf, leaf[1:], shared[1:]):
+            assert k == next((j for j in range(size) if text[x][j] != text[y][j]), size)
+        assert len(g) <= most or len({t[:8] for t in (text[i] for i in g)}) == 1
+        for i in g:
+            assert seen.setdefault(text[i], n) == n  # equal windows meet in one group
+
+
 # ---------------------------------------------------------------- 8
 
 
