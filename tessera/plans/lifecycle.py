@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Remember, Scope, Update
@@ -18,15 +18,23 @@ SHOWN = ["tenant_id", "namespace", "id", "kind", "status", "revision"]
 COLUMNS = "tenant_id, namespace, CAST(id AS VARCHAR) AS id, kind"
 
 
-def filled(spark: SparkSession, sf_dir: str, status=F.lit("active"), dims: int | None = None) -> MemoryStore:
+def filled(spark: SparkSession, sf_dir: str, status: Column | None = None) -> MemoryStore:
     """A store of all rows of the memory view, by one bulk load."""
-    dims = dims or len(vector_of(spark, sf_dir, 0))
-    store = MemoryStore(spark, f"{shared_dir(spark)}/tessera/store-{uuid.uuid4().hex}", dims, "m")
-    rows = memories(spark, sf_dir).withColumns({"id": F.col("id").cast("string"), "content": F.coalesce("content", F.lit("none")), "status": status, "revision": F.lit(1)})
+    store = MemoryStore(spark, f"{shared_dir(spark)}/tessera/store-{uuid.uuid4().hex}", len(vector_of(spark, sf_dir, 0)), "m")
+    rows = memories(spark, sf_dir).withColumns({"id": F.col("id").cast("string"), "content": F.coalesce("content", F.lit("none")), "status": F.lit("active") if status is None else status, "revision": F.lit(1)})
     store.ingest(rows.drop("access_count"), NOW_MS)
     return store
 
 
+def edge(store: MemoryStore, end) -> str:
+    """The least or greatest id of the scope A."""
+    return str(store.memories().where("tenant_id = 't0' and namespace = 'ns0'").agg(end(F.col("id").cast("long"))).first()[0])
+
+
+def edge_sql(end: str) -> str:
+    return f"(SELECT {end}(id) FROM mem WHERE tenant_id = 't0' AND namespace = 'ns0')"
+
+
 def shown(store: MemoryStore) -> DataFrame:
     return store.memories().select(*SHOWN)
 
@@ -59,12 +67,13 @@ REMEMBER = f"WITH {MEM} SELECT {COLUMNS}, 'active' AS status, CAST(1 AS BIGINT)
 def store_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two updates of one memory: a patch of its metadata under an expected revision, then of importance and kind."""
     store = filled(spark, sf_dir)
-    store.update(Update(A, "30", expected_revision=1, metadata={"seen": True}), NOW_MS)
-    store.update(Update(A, "30", expected_revision=2, importance=0.25, kind="episodic"), NOW_MS + 1)
+    one = edge(store, F.max)
+    store.update(Update(A, one, expected_revision=1, metadata={"seen": True}), NOW_MS)
+    store.update(Update(A, one, expected_revision=2, importance=0.25, kind="episodic"), NOW_MS + 1)
     return store.memories().where("revision > 1").select(*SHOWN, F.round(F.col("importance").cast("double"), 4).alias("importance"), F.col("metadata")["seen"].alias("seen"))
 
 
-UPDATE = f"WITH {MEM} SELECT tenant_id, namespace, CAST(id AS VARCHAR) AS id, 'episodic' AS kind, 'active' AS status, CAST(3 AS BIGINT) AS revision, CAST(0.25 AS DOUBLE) AS importance, 'true' AS seen FROM mem WHERE id = 30"
+UPDATE = f"WITH {MEM} SELECT tenant_id, namespace, CAST(id AS VARCHAR) AS id, 'episodic' AS kind, 'active' AS status, CAST(3 AS BIGINT) AS revision, CAST(0.25 AS DOUBLE) AS importance, 'true' AS seen FROM mem WHERE id = {edge_sql('max')}"
 
 
 def store_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,26 +128,28 @@ def store_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A backup, opened, does not show what the store did later; the store, opened again, does."""
     store = filled(spark, sf_dir)
     store.backup(f"{store.path}-copy")
-    store.set_status(A, ["30"], "deleted")
+    one = edge(store, F.max)
+    store.set_status(A, [one], "deleted")
     store.compact()
     out = []
     for name, path in (("copy", f"{store.path}-copy"), ("store", store.path)):
-        out.append(shown(MemoryStore(spark, path, store.dims, store.model)).where("status = 'deleted' or id = '30'").withColumn("place", F.lit(name)))
+        out.append(shown(MemoryStore(spark, path, store.dims, store.model)).where(F.col("id") == one).withColumn("place", F.lit(name)))
     return out[0].union(out[1])
 
 
-BACKUP = f"WITH {MEM} SELECT {COLUMNS}, CASE place WHEN 'copy' THEN 'active' ELSE 'deleted' END AS status, CAST(1 AS BIGINT) AS revision, place FROM mem, (VALUES ('copy'), ('store')) AS p(place) WHERE id = 30"
+BACKUP = f"WITH {MEM} SELECT {COLUMNS}, CASE place WHEN 'copy' THEN 'active' ELSE 'deleted' END AS status, CAST(1 AS BIGINT) AS revision, place FROM mem, (VALUES ('copy'), ('store')) AS p(place) WHERE id = {edge_sql('max')}"
 
 
 def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """get: a row of the scope; none from another scope, and none that is deleted."""
     store = filled(spark, sf_dir, F.when(F.col("id").cast("long") % 12 == 0, "deleted").otherwise("active"))
-    asked = [(Scope(*s), i, a) for s in (("t0", "ns0"), ("t1", "ns1")) for i in ("30", "12", "no") for a in (True, False)]
+    ids = [edge(store, F.min), edge(store, F.max), "no"]
+    asked = [(Scope(*s), i, a) for s in (("t0", "ns0"), ("t1", "ns1")) for i in ids for a in (True, False)]
     got = [(s.tenant_id, i, a, store.get(s, i, a)) for s, i, a in asked]
     return spark.createDataFrame([(t, i, a, None if r is None else r["status"]) for t, i, a, r in got], "tenant_id string, id string, active_only boolean, status string")
 
 
-LOOKUP = f"""WITH {MEM}, asked AS (SELECT * FROM (VALUES ('t0', 'ns0'), ('t1', 'ns1')) AS s(t, n), (VALUES ('30'), ('12'), ('no')) AS i(i), (VALUES (true), (false)) AS a(a)),
+LOOKUP = f"""WITH {MEM}, asked AS (SELECT * FROM (VALUES ('t0', 'ns0'), ('t1', 'ns1')) AS s(t, n), (SELECT CAST({edge_sql('min')} AS VARCHAR) UNION ALL SELECT CAST({edge_sql('max')} AS VARCHAR) UNION ALL SELECT 'no') AS i(i), (VALUES (true), (false)) AS a(a)),
 m AS (SELECT tenant_id, namespace, CAST(id AS VARCHAR) AS id, CASE WHEN id % 12 = 0 THEN 'deleted' ELSE 'active' END AS status FROM mem)
 SELECT t AS tenant_id, i AS id, a AS active_only, status FROM asked LEFT JOIN m ON m.tenant_id = t AND m.namespace = n AND m.id = i AND (NOT a OR status = 'active')"""
 
