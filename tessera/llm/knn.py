@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from .common import stored
 
 #: Queries in a group and rows in a block; both bound what one task holds.
-GROUP, BLOCK, CELLS = 1024, 8192, 256
+GROUP, BLOCK, CELLS = 1024, 8192, 1024
+LONG = np.iinfo(np.int64)
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -40,10 +41,21 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; through floats only where those are exact."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
+    """Integer inner products, exactly; through floats or 64-bit integers only where those cannot lose a digit. A product,
+    or a component, that a long cannot hold is an error."""
+    if not q.size or not x.size:
+        return q @ x.T
+    if max(q.max(), x.max()) == LONG.max or min(q.min(), x.min()) == LONG.min:
+        raise ValueError("a quantised component does not fit into 64 bits")
+    most = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
+    if most < 2.0**53:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
+    if most < 2.0**62:
+        return q @ x.T
+    exact = q.astype(object) @ x.T.astype(object)
+    if exact.max() > LONG.max or exact.min() < LONG.min:
+        raise ValueError("an inner product does not fit into 64 bits")
+    return exact.astype(np.int64)
 
 
 def pivots(rows: DataFrame, n: int, dim: int) -> np.ndarray:
@@ -67,7 +79,9 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, s
     a count and a radius (at most CELLS rows each). From those, each query group gets a score that its k-th best surely
     reaches, by r_q.r_x >= p.c - |p| r - |c| u - u r over cells; a row x goes to a group with pivot p and radius u only if
     p.x + u |x| can reach that. Groups and cells are cut into bounded parts, each pair of parts is solved in one task,
-    and the parts' best k of each query are ranked. An empty table gives no rows."""
+    and the parts' best k of each query are ranked. A query visits only cells whose bound can reach its group's score. Vectors
+    that are null or hold null or non-finite components, and rows without an id, take no part; a score that a long cannot
+    hold is an error. An empty table gives no rows."""
     rows = stored(quantised(vectors, id_col, vec_col, scale), "knn-rows")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.sum(is_query.cast("long")).alias("q")).first()
     n, dim, q = size["n"] or 0, max(1, size["d"] or 1), size["q"] or 0
@@ -95,6 +109,7 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, s
 
     norm_q, norm_x = np.sqrt((p_q**2).sum(1)), np.sqrt((p_x**2).sum(1))
     need, radius = np.full(len(p_q), np.inf), np.zeros(len(p_q))
+    visits: dict[int, list[int]] = {}
     for i, (_, u) in q_cells.items():
         radius[i] = u
         lows = sorted(((p_q[i] @ p_x[j] - norm_q[i] * r - norm_x[j] * u - u * r, m) for j, (m, r) in x_cells.items()), reverse=True)
@@ -105,6 +120,8 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, s
             if have >= k + same[i]:
                 need[i] = low - 1e-6 * (1 + abs(low))
                 break
+        highs = {j: p_q[i] @ p_x[j] + norm_q[i] * r + norm_x[j] * u + u * r for j, (_, r) in x_cells.items()}
+        visits[i] = [j for j, high in sorted(highs.items()) if high + 1e-5 * (1 + abs(high)) >= need[i]]
     parts = {j: -(-m // BLOCK) for j, (m, _) in x_cells.items()}
     groups = {i: -(-m // GROUP) for i, (m, _) in q_cells.items()}
 
@@ -123,11 +140,20 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, s
     cut = F.create_map(*[F.lit(int(y)) for pair in sorted(groups.items()) for y in pair])
     blocks = data.mapInArrow(replicate, "g int, c int, s int, id long, v array<long>")
     blocks = blocks.withColumn("u", F.explode(F.sequence(F.lit(0), F.element_at(cut, F.col("g")) - 1)))
-    cut_x = F.create_map(*[F.lit(int(y)) for pair in sorted(parts.items()) for y in pair])
     many = F.element_at(cut, F.col("cell"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stops = {g: np.array([(j, k) for j in cells_ for k in range(parts[j])], np.int32).reshape(-1, 2) for g, cells_ in visits.items()}
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                some = b.slice(i, 256)
+                to = [stops[g] for g in some.column("g").to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(to)), [len(x) for x in to]))
+                to = np.concatenate(to)
+                yield pa.RecordBatch.from_arrays([some.column("g").take(row), pa.array(to[:, 0]), pa.array(to[:, 1]), *(some.column(c).take(row) for c in ("u", "id", "v"))], names=["g", "c", "s", "u", "id", "v"])
+
     asked = queries.select(F.col("cell").alias("g"), F.pmod(F.xxhash64("id"), many.cast("long")).cast("int").alias("u"), "id", "v")
-    asked = asked.withColumn("c", F.explode(F.array(*[F.lit(int(j)) for j in sorted(parts)])))
-    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.element_at(cut_x, F.col("c")) - 1))).select("g", "c", "s", "u", "id", "v")
+    asked = asked.mapInArrow(visit, "g int, c int, s int, u int, id long, v array<long>")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"q": [], "h": [], "vec_id": [], "score": []}

@@ -341,6 +341,17 @@ def test_knn(spark, sf, monkeypatch, block):
     assert knn.top_k(both.limit(0), "vec_id", "embedding", F.col("id") % 50 == 0).count() == 0
 
 
+def test_knn_of_large_components(spark):
+    """Scores beyond 2^53 are exact; what a long cannot hold is an error."""
+    rows = [(50, [1.3e6] * 64), (1, [1.3e6] * 64), (2, [1.3e6] * 63 + [1.2e6]), (3, [1.0] * 64)]
+    kind = "vec_id long, embedding array<float>"
+    df = spark.createDataFrame(rows, kind)
+    same(map(tuple, knn.top_k(df, "vec_id", "embedding", F.col("id") % 50 == 0, 5).collect()), expected_top(df.collect()))
+    for far in (3e7, 3e38):
+        with pytest.raises(Exception, match="64 bits"):
+            knn.top_k(spark.createDataFrame([*rows, (100, [far] * 64), (4, [far] * 64)], kind), "vec_id", "embedding", F.col("id") % 50 == 0, 5).collect()
+
+
 def test_knn_with_a_query_id_that_repeats(spark, monkeypatch):
     """Rows with the query's id, all in a tight cell, do not bound its score."""
     monkeypatch.setattr(knn, "BLOCK", 2)
