@@ -53,6 +53,15 @@ def test_block_path_equals_expressions(spark, sf, metric):
         assert want == [got[r["query_id"], k] for k in range(1, 8)]
 
 
+def test_many_queries_in_blocks_equal_one_block(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding").where("id < 90")
+    asked = rows.where("id < 12").select(F.col("id").alias("query_id"), "embedding")
+    want = knn.batch_top_k(rows, asked, 4, "cosine").collect()
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(knn, "VECTOR_BLOCK", 40)
+    assert sorted(knn.batch_top_k(rows, asked, 4, "cosine").collect()) == sorted(want) and len(want) == 48
+
+
 def test_filter_semantics(spark):
     rows = vectors(spark, [(1, [0], {"c": ["red"], "s": ["large"]}), (2, [0], {"c": ["red"], "s": ["small"]}), (3, [0], {"c": ["blue"]}), (4, [0], None)])
     ids = lambda e: {r["id"] for r in rows.where(filters.parse(e)).collect()}
