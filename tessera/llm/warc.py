@@ -8,13 +8,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .common import partitions
 
 DATE = "2024-01-01T00:00:00Z"
-BINS = 4096
+#: The most shards of an archive: beyond so many times shard_bytes, shards grow.
+SHARDS = 65_536
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -56,13 +62,41 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def rank_key() -> Column:
+    """33 letters whose order is that of (id, hash of the payload), null ids first."""
+    digits = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(F.col("id").isNull(), "0").otherwise("1"), digits(F.coalesce("id", F.lit(0).cast("long"))), digits(F.xxhash64("payload")))
+
+
+def shard_starts(sizes: DataFrame, shard_bytes: int, path: str) -> list[str]:
+    """The first key of each shard, in order, from (key, n) rows: a shard ends with the key whose sum of all n so far
+    passes the next multiple of shard_bytes, so it holds at most that and one key more, however keys are spread.
+
+    Sums are exact, so the shards do not depend on partitions. Keys are summed within ranges; the driver gets one total a
+    range (spark.sql.shuffle.partitions of them) and at most SHARDS + 1 keys."""
+    spark = sizes.sparkSession
+    ranged = sizes.groupBy("key").agg(F.sum("n").alias("n")).repartitionByRange(partitions(spark), "key").withColumn("part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema("key string, n long, part int").parquet(path)
+    before, total = [], 0
+    for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        before.append((r["part"], total))
+        total += r["n"]
+    step = max(shard_bytes, -(-total // SHARDS))
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    so_far = F.sum("n").over(W.partitionBy("part").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = ranged.withColumn("sum", so_far).join(offsets, "part").select("key", F.floor((F.col("before") + F.col("sum") - F.col("n")) / F.lit(step)).alias("shard"))
+    return [r["key"] for r in placed.groupBy("shard").agg(F.min("key").alias("key")).orderBy("shard").collect()]
+
+
 def write_archive(
     df: DataFrame, id_col: str, url_col: str, payload_col: str, out: str, shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, min_revisit: int = 0, date: str = DATE
 ) -> DataFrame:
     """Writes one record per row under out (a URI that all machines reach) and returns the committed manifest.
 
-    Records are sorted by (shard, id); a shard is a range of ids with about shard_bytes of payload, and its files are rolled
-    at roll_bytes compressed. Shards depend on ids and sizes only, so reruns give the same files byte for byte. Tasks write
+    Records are sorted by (shard, id); a shard is a range of ids (of payloads too where ids repeat) with about shard_bytes
+    of payload, and its files are rolled at roll_bytes compressed. Shards depend on ids, payloads and sizes only, so reruns
+    give the same files byte for byte. Tasks write
     temporary names that no two attempts share; the rows that a successful attempt returns are the manifest; a second
     job renames by it, and can be repeated after a loss; the manifest that readers use is written last.
 
@@ -76,22 +110,20 @@ def write_archive(
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     small = rows.select("id", "digest", "size")
 
-    span = small.agg(F.min("id"), F.max("id")).first()
-    low, width = (span[0] or 0), max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // BINS))
-    bin_of = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-    sizes = {r["b"]: r["n"] for r in small.groupBy(bin_of.alias("b")).agg(F.sum(F.col("size") + 400).alias("n")).collect()}  # at most BINS rows
-    shard_of, total = [], 0
-    for b in range(BINS):
-        shard_of.append(total // shard_bytes)
-        total += sizes.get(b, 0)
-    shards = shard_of[-1] + 1
+    starts = shard_starts(rows.select(rank_key().alias("key"), (F.col("size") + 400).alias("n")), shard_bytes, f"{out}/_sizes")
+    shards = max(1, len(starts))
+    sent = spark.sparkContext.broadcast(np.array(starts, "S33"))
+
+    @F.pandas_udf("int")
+    def shard_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(sent.value, keys.to_numpy().astype("S33"), "right") - 1, 0).astype(np.int32))
 
     twice = small.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     twice.write.parquet(f"{out}/_repeats")
     twice = spark.read.schema(twice.schema).parquet(f"{out}/_repeats")
     marked = rows.join(twice, (F.col("digest") == F.col("d")) & (F.col("size") >= min_revisit), "left")
     revisit = F.col("d").isNotNull() & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    marked = marked.select(F.element_at(F.array(*map(F.lit, shard_of)), bin_of + 1).alias("shard"), "id", "url", "payload", "first", revisit.alias("revisit"))
+    marked = marked.select(shard_of(rank_key()).alias("shard"), "id", "url", "payload", "first", revisit.alias("revisit"))
     ordered = marked.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "id", "url", "revisit")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -224,6 +224,18 @@ def test_warc_round_trip(spark, sf):
     assert none.count() == 0
 
 
+def test_warc_shards_are_bounded_whatever_the_ids(spark):
+    """One far id, null ids, a repeated id: no shard holds more than its bytes and one key more."""
+    rows = [(i if i % 3 else None, "u", f"{i} " + "y" * 3000) for i in range(300)] + [(7, "u", f"again {i} " + "z" * 3000) for i in range(200)] + [(10**15, "u", "far"), (-(10**15), "u", "low")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    out, manifest = archive(spark, df)
+    held = collections.Counter()
+    for r in manifest.collect():
+        held[r["name"].split("-")[1]] += r["records"]
+    assert sum(held.values()) == len(rows) and max(held.values()) <= 60_000 // 3400 + 2 and len(held) >= 25
+    same([tuple(r)[:5] for r in warc.read_archive(spark, out).collect()], expected_records(rows))
+
+
 # ---------------------------------------------------------------- 3
 
 
