@@ -22,11 +22,23 @@ def live(changes: DataFrame) -> DataFrame:
     return latest(changes).where("op <> 'delete'")
 
 
+def settled(changes: DataFrame) -> DataFrame:
+    """The last change of each id as (id, op, embedding, metadata, fresh). An upsert without metadata keeps what the id had
+    before, unless it was deleted in between: then fresh is true, and what a snapshot holds does not count either."""
+    m = F.col("metadata").isNotNull()
+    g = changes.groupBy("id").agg(
+        F.max_by(F.struct("op", "embedding"), "seq").alias("r"), F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("gone"),
+        F.max(F.when(m, F.col("seq"))).alias("at"), F.max_by("metadata", F.when(m, F.col("seq"))).alias("m"),
+    )
+    return g.select("id", "r.op", "r.embedding", F.when(F.col("gone").isNull() | (F.col("at") > F.col("gone")), F.col("m")).alias("metadata"), F.col("gone").isNotNull().alias("fresh"))
+
+
 def overlay(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
-    """A snapshot (id, embedding, metadata) with newer changes on top. An upsert without metadata keeps the old one."""
-    last = latest(changes).select(F.col("id").alias("cid"), "op", F.col("embedding").alias("ce"), F.col("metadata").alias("cm"))
+    """A snapshot (id, embedding, metadata) with newer changes on top."""
+    last = settled(changes).select(F.col("id").alias("cid"), "op", F.col("embedding").alias("ce"), F.col("metadata").alias("cm"), "fresh")
     both = snapshot.join(last, F.col("id") == F.col("cid"), "full_outer").where("op is null or op <> 'delete'")
-    return both.select(F.coalesce("cid", "id").alias("id"), F.when(F.col("cid").isNotNull(), F.col("ce")).otherwise(F.col("embedding")).alias("embedding"), F.coalesce("cm", "metadata").alias("metadata"))
+    kept = F.coalesce(F.col("cm"), F.when(~F.coalesce("fresh", F.lit(False)), F.col("metadata")))
+    return both.select(F.coalesce("cid", "id").alias("id"), F.when(F.col("cid").isNotNull(), F.col("ce")).otherwise(F.col("embedding")).alias("embedding"), kept.alias("metadata"))
 
 
 def without_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -43,6 +55,16 @@ def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def scoped_journal(operations: DataFrame, memories: DataFrame) -> DataFrame:
+    """Operations without a scope get that of their memory; of those that share (scope, operation id) the earliest stays,
+    by creation and memory id. Operations of unknown memories go."""
+    scopes = memories.select(F.col("id").alias("memory_id"), "tenant_id", "namespace")
+    rows = operations.join(scopes, "memory_id")
+    rest = [c for c in rows.columns if c not in ("tenant_id", "namespace", "operation_id")]
+    first = F.min_by(F.struct(*rest), F.struct("created_at_ms", "memory_id")).alias("r")
+    return rows.groupBy("tenant_id", "namespace", "operation_id").agg(first).select("tenant_id", "namespace", "operation_id", "r.*")
+
+
 def union_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").union(b.select("id")).distinct()
 

@@ -9,6 +9,8 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from ..errors import EngineError
+
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -95,3 +97,21 @@ class Files:
         fs, p = self._at(source)
         fs2, q = self._at(to)
         self._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, fs2, q, False, True, self._conf)
+
+
+class Commits:
+    """Numbered manifests in path/commits: the last one holds, and each number is taken by one writer only."""
+
+    def __init__(self, files: Files, path: str):
+        self.files, self.at = files, f"{path}/commits"
+
+    def latest(self) -> dict | None:
+        names = [n for n in self.files.names(self.at) if not n.startswith(("_", "."))]
+        return self.files.read_json(f"{self.at}/{names[-1]}") if names else None
+
+    def follow(self, manifest: dict) -> dict:
+        """Commits a manifest that was made from the last one, under the next number."""
+        m = manifest | {"commit": manifest["commit"] + 1}
+        if not self.files.create_json(f"{self.at}/{m['commit']:012d}.json", m):
+            raise EngineError("StoreBusy", "another writer has committed")
+        return m

@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from ..errors import EngineError, invalid
 from ..functions import crypto, filters, lexical
 from ..model import KEEP, MEMORIES, OPERATIONS, SCHEMA_VERSION, Recall, Remember, Scope, Update, canonical_map
-from ..operators import context, recall
+from ..operators import changes, context, recall
 from .embed import Embedder, check_model
-from .files import Files
+from .files import Commits, Files
 
 #: Stored rows: the record, its blind tokens, the version, and whether it has been purged.
 ROWS = T.StructType([*MEMORIES.fields, T.StructField("blind", T.ArrayType(T.StringType())), T.StructField("version", T.LongType()), T.StructField("purged", T.BooleanType())])
@@ -43,11 +43,12 @@ class MemoryStore:
         self.lexical_mode = lexical_mode or ("disabled" if keys else "plaintext")
         crypto.check_lexical_mode(self.lexical_mode, keys is not None)
         self.files = Files(spark)
-        m = self._latest()
+        self.commits = Commits(self.files, self.path)
+        m = self.commits.latest()
         if m is None:
             m = {"schema_version": SCHEMA_VERSION, "dims": dims, "model": model, "scheme": "none", "commit": 0, "rows": [], "journal": [], "counts": {}}
         if m["schema_version"] != SCHEMA_VERSION:
-            raise EngineError("CorruptStore", "unknown schema version")
+            m = self._migrated(m)
         if m["dims"] != dims or m["model"] != model:
             raise invalid("the store was made with another model or other dimensions")
         crypto.check_contract(m["scheme"], keys)
@@ -61,15 +62,27 @@ class MemoryStore:
 
     # ------------------------------------------------ versions
 
-    def _latest(self) -> dict | None:
-        names = [n for n in self.files.names(f"{self.path}/commits") if not n.startswith(("_", "."))]
-        return self.files.read_json(f"{self.path}/commits/{names[-1]}") if names else None
-
     def _commit(self) -> None:
-        m = self.manifest | {"commit": self.manifest["commit"] + 1}
-        if not self.files.create_json(f"{self.path}/commits/{m['commit']:012d}.json", m):
-            raise EngineError("StoreBusy", "another writer has committed")
-        self.manifest = m
+        self.manifest = self.commits.follow(self.manifest)
+
+    def _migrated(self, m: dict) -> dict:
+        """The manifest of a store of an older schema, its files rewritten where the schema asks for it: 2 has a text index
+        (nothing is kept here), 3 has scopes in the journal, 4 has sealing. The old files stay until clean_up."""
+        version = m["schema_version"]
+        if not 1 <= version < SCHEMA_VERSION:
+            raise EngineError("CorruptStore", "unknown schema version")
+        self.manifest = m = {"scheme": "none"} | m
+        tag = f"{m['commit'] + 1}-{uuid.uuid4().hex[:12]}"
+        if version < 3 and m["journal"]:
+            old = self.spark.read.schema(JOURNAL).parquet(*[f"{self.path}/{n}" for n in m["journal"]]).select(*[n for n in JOURNAL.names if n not in KEY])
+            scoped = changes.scoped_journal(changes.latest(old, ["operation_id"], "version"), self.stored())
+            scoped.select(*JOURNAL.names).write.parquet(f"{self.path}/ops-{tag}")
+            m = m | {"journal": [f"ops-{tag}"]}
+        if m["rows"]:
+            rows = self.stored().withColumn("enc_version", F.coalesce("enc_version", F.lit(0)))
+            rows.write.parquet(f"{self.path}/delta-{tag}")
+            m = m | {"rows": [f"delta-{tag}"], "counts": {f"delta-{tag}": self.spark.read.schema(ROWS).parquet(f"{self.path}/delta-{tag}").count()}}
+        return m | {"schema_version": SCHEMA_VERSION}
 
     def _newest(self, kind: str, schema: T.StructType, key: list[str]) -> DataFrame:
         names = self.manifest[kind]
@@ -234,6 +247,10 @@ class MemoryStore:
         rows = self.memories().where(filters.in_scope(scope) & (F.col("id") == memory_id))
         return (rows.where("status = 'active'") if active_only else rows).first()
 
+    def find(self, memory_id: str) -> DataFrame:
+        """The rows of an id in all scopes, of any status: for recovery and support, not for tenants."""
+        return self.memories().where(F.col("id") == memory_id)
+
     def update(self, u: Update, now_ms: int) -> int:
         """Applies a patch if the expected revision holds; returns the new revision. Metadata keys are overwritten one by
         one; kind is stored too."""
