@@ -43,11 +43,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame, column: str) -> int:
-    """Bytes of text in a column, from one pass that reads only that column."""
-    return int(df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
