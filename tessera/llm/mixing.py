@@ -65,7 +65,9 @@ def rates(hist: DataFrame, goals: DataFrame, most: int = 2, rounds: int = 40, cl
     """The tilted rate of each (source, size): hist has source, size, docs; goals has source, source_size, target.
 
     Newton on the dual, all sources in one aggregation a round, kept inside a bracket that halves when a step leaves it.
-    The state is one row a source and lives in Spark; only the largest relative gap comes to the driver."""
+    The state is one row a source and lives in Spark; only the largest relative gap comes to the driver. A source that is
+    not within close of its target after all rounds keeps its last rates: copies() owes it the rest, so it still ends
+    near its target."""
     g = goals.select(F.col("source").alias("gs"), "target")
     sums = hist.where("size > 0").groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).cast("double").alias("all"), F.sum("docs").alias("n"))
     state = sums.join(g, F.col("source").eqNullSafe(F.col("gs"))).select(F.col("source").alias("ss"), (F.col("all") / F.col("n")).alias("mean"), "target", (F.col("target") / F.col("all") / most).alias("full"))
