@@ -403,8 +403,9 @@ def compiled(spark, path: str):
     return _ready[key]
 
 
-def unpacked(sent) -> Transducer:
-    key = ("got", sent.id if hasattr(sent, "id") else id(sent))
+def unpacked(sent, path: str) -> Transducer:
+    """The transducer of the tokenizer at path, kept for the worker's life."""
+    key = ("got", path)
     if key not in _ready:
         _ready[key] = pickle.loads(sent.value)
     return _ready[key]

@@ -24,7 +24,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str, limit: in
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        machine = unpacked(sent)
+        machine = unpacked(sent, path)
         for part, buf, offs in each_slice(batches, "t", 2 << 20):
             n = machine.count_texts(buf, offs)
             yield pa.RecordBatch.from_arrays(
