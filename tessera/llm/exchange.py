@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, flat, new_path, partitions
 
+#: Bytes of text in a chunk: a task holds some 25 times as much in arrays over its words.
+CHUNK = 8 << 20
 MESSAGE = "shard int, chunk long, body binary"
 ARROW_MESSAGE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
 
@@ -70,7 +72,7 @@ class Bucketed:
 class Chunks:
     """Documents (id long, text, flag boolean, and extra columns as strings) in chunks of about size bytes, in the shared folder."""
 
-    def __init__(self, docs: DataFrame, size: int = 8 << 20, extra: list[str] | None = None):
+    def __init__(self, docs: DataFrame, size: int = CHUNK, extra: list[str] | None = None):
         self.spark = spark = docs.sparkSession
         more = [f"x{i}" for i in range(len(extra or []))]
 
@@ -83,6 +85,7 @@ class Chunks:
         chunked = docs.select("id", "flag", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(n) for c, n in zip(extra or [], more)])
         chunked = chunked.mapInArrow(run, "chunk long, ids array<long>, flags array<boolean>, texts array<string>" + "".join(f", {n} array<string>" for n in more))
         self.table = Bucketed(chunked, "chunks").table
+        self.count = self.table.count()
 
     def send(self, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]]) -> DataFrame:
         """(shard, chunk, body) rows of what ask yields for each chunk."""
@@ -129,9 +132,15 @@ def _batch(chunk: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int32()), pa.array([chunk] * len(held), pa.int64()), pa.array([b for _, b in held], pa.binary())], schema=ARROW_MESSAGE)
 
 
+def shard_count(spark: SparkSession, chunks: int, each: int) -> int:
+    """Shards for so many chunks: one for each `each` of them, and no fewer than tasks of a shuffle."""
+    return max(partitions(spark), -(-chunks // each))
+
+
 def solve(sent: DataFrame, answer: Callable[[list[bytes]], tuple[list[bytes], bytes | None]]) -> DataFrame:
     """Each shard's answers: answer gets the bodies of all chunks and returns one body for each, in the same order, and
-    perhaps one more about the shard, which gets chunk -1."""
+    perhaps one more about the shard, which gets chunk -1. A shard's messages are held at once, so the number of shards must
+    grow with the input (shard_count), whatever the number of shuffle partitions; a task has one shard at a time."""
 
     def run(table: pa.Table) -> pa.Table:
         order = pa.array(np.argsort(table["chunk"].to_numpy(), kind="stable"))
@@ -143,10 +152,17 @@ def solve(sent: DataFrame, answer: Callable[[list[bytes]], tuple[list[bytes], by
     return sent.groupBy("shard").applyInArrow(run, MESSAGE)
 
 
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys begin among sorted 64-bit keys: shards + 1 places. A shard is a range of keys."""
-    edges = np.array([(s << 64) // shards for s in range(shards)], U64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each 64-bit key; a shard is a range of keys."""
+    return ((keys >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+
+
+def runs(shard: np.ndarray) -> dict[int, slice]:
+    """Where each shard's rows lie among rows in the order of shards; shards without rows are left out."""
+    if not len(shard):
+        return {}
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    return {k: slice(i, j) for k, i, j in zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)])}
 
 
 def freed(spark) -> None:

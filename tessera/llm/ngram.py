@@ -25,20 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, flat, partitions, span_hash, stored, words
+from .common import LOWER, U64, flat, span_hash, stored, words
 from .eliasfano import EliasFano, mapped
-from .exchange import ARROW_MESSAGE, MESSAGE, Bucketed, dealt, freed, messages, shard_bounds, solve
+from .exchange import ARROW_MESSAGE, CHUNK, MESSAGE, Bucketed, dealt, freed, messages, runs, shard_count, shards_of, solve
 from .packed import gaps, packed, summed, unpacked
 
 END = U64(0x5851F42D4C957F2D)
 #: Steps of the quantised log10 probabilities.
 FINE = 4096
+#: A shard gets on average what this many chunks send.
+CHUNKS_A_SHARD = 4
 
 
 # ---------------------------------------------------------------- a chunk's tokens
 
 
-def tokenised(docs: DataFrame, size: int = 8 << 20) -> DataFrame:
+def tokenised(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """(chunk, state): packed ids, flags, token counts of a chunk's documents, tokens as numbers of the chunk's distinct
     tokens (frequent ones first), and of these the fingerprints and how often they occur in learnt and in all documents."""
 
@@ -92,11 +94,8 @@ def _ask_words(shards: int):
         keys = keys.view(U64)
         order = np.argsort(keys)
         keys, learnt, total = keys[order], learnt[order], total[order]
-        bounds = shard_bounds(keys, shards)
-        for k in range(shards):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b:
-                yield k, packed(gaps(keys[a:b]), learnt[a:b], total[a:b])
+        for k, mine in runs(shards_of(keys, shards)).items():
+            yield k, packed(gaps(keys[mine]), learnt[mine], total[mine])
 
     return ask
 
@@ -126,10 +125,10 @@ def _know_words(state: bytes, answers: list[tuple[int, bytes]], shards: int, bas
     keys = keys.view(U64)
     order = np.argsort(keys)
     number, code = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    bounds = shard_bounds(keys[order], shards)
+    places = runs(shards_of(keys[order], shards))
     for k, body in answers:
         c, place = unpacked(body)
-        mine = order[bounds[k] : bounds[k + 1]]
+        mine = order[places[k]]
         code[mine] = c
         number[mine[c > 0]] = summed(place).view(np.int64) + bases[k] + 1
     return packed(ids, learn, size, tok, number, code, np.flatnonzero(keys == END))
@@ -258,16 +257,15 @@ class Walk:
         ctx, total, word, home = self.q
         every = np.bincount(self.number[self.asked], minlength=len(ctx))
         held = every - np.bincount(self.number[self.asked], np.repeat(self.learn, self.size)[self.asked], len(ctx)).astype(np.int64)
-        bounds = np.searchsorted(home, np.arange(self.shards + 1))
-        for k in np.unique(home):
-            i, j = bounds[k], bounds[k + 1]
+        for k, mine in runs(home).items():
+            i, j = mine.start, mine.stop
             new = np.ones(j - i, bool)
             new[1:] = ctx[i:j][1:] != ctx[i:j][:-1]
             first = np.flatnonzero(new)
             step = gaps(word[i:j])
             step[first] = word[i:j][first]
             h = held[i:j]
-            yield int(k), packed(gaps(ctx[i:j][first]), total[i:j][first], np.diff(np.append(first, j - i)), step, 2 * every[i:j] + (h > 0), h[h > 0])
+            yield k, packed(gaps(ctx[i:j][first]), total[i:j][first], np.diff(np.append(first, j - i)), step, 2 * every[i:j] + (h > 0), h[h > 0])
 
     def learn_level(self, answers: list[tuple[int, bytes]], bases: np.ndarray | None) -> None:
         """Goes on by one order. bases: where each shard's numbers begin; None for the last order."""
@@ -304,8 +302,8 @@ def score(df: DataFrame, id_col: str, text_col: str, learn, orders: int = 3, pri
     spark = df.sparkSession
     none = np.iinfo(np.int64).max  # stands for a null id within the chunks
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("flag"))
-    shards = partitions(spark)
     states = Bucketed(tokenised(docs), "tokens")
+    shards = shard_count(spark, states.table.count(), CHUNKS_A_SHARD)
     answers = stored(solve(sent(states.table, _ask_words(shards)), _answer_words), "word-counts")
     about = {r["shard"]: struct.unpack("<qq", r["body"]) for r in answers.where("chunk = -1").select("shard", "body").collect()}  # one row a shard
     tokens, bases = sum(a[0] for a in about.values()), _bases(shards, {k: a[1] for k, a in about.items()})

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, partitions, span_hash, stored, windows, words
-from .exchange import ARROW_MESSAGE, MESSAGE, Chunk, Chunks, freed, messages, shard_bounds, solve
+from .common import U64, mix, span_hash, stored, windows, words
+from .exchange import ARROW_MESSAGE, MESSAGE, Chunk, Chunks, freed, messages, runs, shard_count, shards_of, solve
 from .packed import gaps, packed, summed, unpacked
 
 GRAM = 8
+#: A shard gets on average what this many chunks send: less than their own words where all of them repeat.
+CHUNKS_A_SHARD = 1
 
 
 class Suffixes:
@@ -84,15 +86,15 @@ def _suffix_rows(c: Chunk, size: int, answers: list[tuple[int, bytes]], shards:
     """Of those suffixes whose anchors repeat: their places and ids, of distinct windows the row of one suffix, shard and
     least id, by shard and place, and the distinct window of each suffix."""
     s, keys, _, _, number = _anchor_rows(c, size)
-    bounds = shard_bounds(keys, shards)
+    at = runs(shards_of(keys, shards))
     again = np.zeros(len(keys), bool)
     for shard, body in answers:
-        n = bounds[shard + 1] - bounds[shard]
-        again[bounds[shard] : bounds[shard + 1]] = np.unpackbits(np.frombuffer(body, np.uint8), count=n).astype(bool)
+        mine = at[shard]
+        again[mine] = np.unpackbits(np.frombuffer(body, np.uint8), count=mine.stop - mine.start).astype(bool)
     live = np.flatnonzero(again[number]) if len(number) else np.zeros(0, np.int64)
     at, ids, anchor = s.at[live], s.id[live], keys[number[live]] if len(live) else np.zeros(0, U64)
     row, low, _, number = _lowest(s.prints(at), ids)
-    shard = ((mix(anchor[row]) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+    shard = shards_of(mix(anchor[row]), shards)
     order = np.lexsort((row, shard))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -212,28 +214,22 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("flag"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(extra or [])])
     chunks = Chunks(docs, extra=[f"e{i}" for i in range(len(extra or []))])
     further = ["text", *(extra or [])] if with_text else []
-    shards = partitions(spark)
+    shards = shard_count(spark, chunks.count, CHUNKS_A_SHARD)
 
     def ask_anchors(c: Chunk) -> Iterator[tuple[int, bytes]]:
         s, keys, low, high, _ = _anchor_rows(c, size)
-        bounds = shard_bounds(keys, shards)
-        for k in range(shards):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b:
-                yield k, np.stack([keys[a:b].view(np.int64), low[a:b], high[a:b]]).tobytes()
-
+        for k, mine in runs(shards_of(keys, shards)).items():
+            yield k, np.stack([keys[mine].view(np.int64), low[mine], high[mine]]).tobytes()
 
     again = stored(solve(chunks.send(ask_anchors), lambda bodies: _bit_answer(bodies, 3, _repeats)), "repeats")
     freed(spark)
 
     def ask_suffixes(c: Chunk, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         s, at, _, row, shard, low, _ = _suffix_rows(c, size, answers, shards)
-        bounds = np.searchsorted(shard, np.arange(shards + 1))
 
         def parts() -> Iterator[tuple[int, bytes]]:
-            for k in np.unique(shard).tolist():
-                i, j = bounds[k], bounds[k + 1]
-                yield k, _stretches(s.word, at[row[i:j]], low[i:j], size)
+            for k, mine in runs(shard).items():
+                yield k, _stretches(s.word, at[row[mine]], low[mine], size)
 
         yield from messages(c.number, parts())
 
@@ -245,12 +241,12 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
 
     def cut(c: Chunk, got: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         s, at, ids, _, shard, low, number = _suffix_rows(c, size, [(k // 2, b) for k, b in got if k % 2 == 0], shards)
-        bounds = np.searchsorted(shard, np.arange(shards + 1))
+        places = runs(shard)
         smaller = np.zeros(len(low), bool)
         for k, body in got:
             if k % 2:
-                i, j = bounds[k // 2], bounds[k // 2 + 1]
-                smaller[i:j] = np.unpackbits(np.frombuffer(body, np.uint8), count=j - i).astype(bool)
+                mine = places[k // 2]
+                smaller[mine] = np.unpackbits(np.frombuffer(body, np.uint8), count=mine.stop - mine.start).astype(bool)
         gone = at[smaller[number] | (ids > low[number])] if len(at) else at
         cover = np.zeros(len(s.doc) + 1, np.int32)
         np.add.at(cover, gone, 1)

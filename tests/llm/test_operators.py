@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import knn, minhash, mixing, ngram, packing, quality, substring, token_counts, toxicity, warc
+from tessera.llm import exchange, knn, minhash, mixing, ngram, packing, quality, substring, token_counts, toxicity, warc
 from tessera.llm.bpe import Transducer, prefix_scan, splitter, state_maps
 from tessera.llm.common import each_slice, flat, new_path, span_hash, windows, words
 from tessera.llm.eliasfano import EliasFano
@@ -391,6 +391,29 @@ def test_substring_of_short_windows_and_long_prefixes(spark):
         same(map(tuple, got), brute.dedup(rows, size))
 
 
+def test_more_shards_than_shuffle_partitions(spark, docs, monkeypatch):
+    learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    cut = lambda: sorted(map(tuple, substring.dedup(docs, "doc_id", "text", 50).collect()))
+    scored = lambda: {r["id"]: (*r[:5], round(r["score"], 6)) for r in ngram.score(docs, "doc_id", "text", learn).collect()}
+    want = cut(), scored()
+    for module in (substring, ngram):
+        monkeypatch.setattr(module, "shard_count", lambda *_: 37)
+    got = cut(), scored()
+    assert got[0] == want[0]
+    assert got[1].keys() == want[1].keys() and all(got[1][k] == pytest.approx(v) for k, v in want[1].items())
+
+
+def test_shards_are_ranges_of_keys_and_grow_with_the_chunks(spark):
+    keys = np.sort(np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64, endpoint=False))
+    for shards in (1, 4, 1000, 10**6):
+        shard = exchange.shards_of(keys, shards)
+        assert (np.diff(shard) >= 0).all() and 0 <= shard[0] and shard[-1] < shards
+        got = exchange.runs(shard)
+        assert sum(s.stop - s.start for s in got.values()) == len(keys) and all((shard[s] == k).all() for k, s in got.items())
+    assert exchange.runs(np.zeros(0, np.int64)) == {}
+    assert [exchange.shard_count(spark, n, 4) for n in (0, 16, 17, 4000)] == [4, 4, 5, 1000]
+
+
 @pytest.mark.parametrize("most", [1, 7, 1000])
 def test_subtrees_lay_out_all_repeats(most):
     """Leaves in order of their words, shared prefixes, and nodes at full depth against a plain comparison."""
