@@ -3,7 +3,8 @@
 A suffix of a document, cut to its first 50 words, is a leaf; two suffixes meet in an internal node at depth 50 exactly if
 their windows are equal. Before trees are built, anchors sift out suffixes that cannot meet another: a window's anchor is the
 least fingerprint of the 8-word runs in it. Equal windows have equal anchors, so a window whose anchor no other document
-holds is unique.
+holds is unique. An anchor with very many windows, as a line gives that very many documents hold, would make its shard grow
+with the input; its windows are dealt by their own fingerprints instead, so that equal ones still meet.
 
 The rest travels as stretches of words: neighbouring windows mostly share their anchor, so a stretch goes to its anchor's
 shard once, with its words, instead of 50 times by the prefixes of its suffixes. A shard splits its suffixes by prefixes of
@@ -29,6 +30,8 @@ from .packed import gaps, packed, summed, unpacked
 GRAM = 8
 #: A shard gets on average what this many chunks send: less than their own words where all of them repeat.
 CHUNKS_A_SHARD = 1
+#: Windows that one anchor may bring to its shard; they are some five times as many words.
+BUSY = 1 << 18
 
 
 class Suffixes:
@@ -77,7 +80,7 @@ def _lowest(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray,
 
 def _anchor_rows(c: Chunk, size: int):
     s = Suffixes(c, size)
-    a = s.anchors()
+    a = mix(s.anchors())  # least values lie near 0, and a shard is a range
     row, low, high, number = _lowest((a,), s.id)
     return s, a[row], low, high, number
 
@@ -85,16 +88,18 @@ def _anchor_rows(c: Chunk, size: int):
 def _suffix_rows(c: Chunk, size: int, answers: list[tuple[int, bytes]], shards: int):
     """Of those suffixes whose anchors repeat: their places and ids, of distinct windows the row of one suffix, shard and
     least id, by shard and place, and the distinct window of each suffix."""
-    s, keys, _, _, number = _anchor_rows(c, size)
+    s, keys, _, _, first = _anchor_rows(c, size)
     at = runs(shards_of(keys, shards))
-    again = np.zeros(len(keys), bool)
+    again, busy = np.zeros((2, len(keys)), bool)
     for shard, body in answers:
         mine = at[shard]
-        again[mine] = np.unpackbits(np.frombuffer(body, np.uint8), count=mine.stop - mine.start).astype(bool)
-    live = np.flatnonzero(again[number]) if len(number) else np.zeros(0, np.int64)
-    at, ids, anchor = s.at[live], s.id[live], keys[number[live]] if len(live) else np.zeros(0, U64)
-    row, low, _, number = _lowest(s.prints(at), ids)
-    shard = shards_of(mix(anchor[row]), shards)
+        again[mine], busy[mine] = np.unpackbits(np.frombuffer(body, np.uint8), count=2 * (mine.stop - mine.start)).astype(bool).reshape(2, -1)
+    live = np.flatnonzero(again[first]) if len(first) else np.zeros(0, np.int64)
+    at, ids, anchor = s.at[live], s.id[live], keys[first[live]] if len(live) else np.zeros(0, U64)
+    prints = s.prints(at)
+    row, low, _, number = _lowest(prints, ids)
+    alone = busy[first[live]][row] if len(live) else np.zeros(0, bool)
+    shard = shards_of(mix(np.where(alone, anchor[row] ^ prints[0][row], anchor[row])), shards)
     order = np.lexsort((row, shard))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -118,18 +123,21 @@ def _bit_answer(bodies: list[bytes], width: int, rule) -> tuple[list[bytes], Non
     got = rule(every)
     out, i = [], 0
     for p in parts:
-        out.append(np.packbits(got[i : i + p.shape[1]]).tobytes())
+        out.append(np.packbits(got[:, i : i + p.shape[1]]).tobytes())
         i += p.shape[1]
     return out, None
 
 
-def _repeats(every: np.ndarray) -> np.ndarray:
-    """Anchors (key, least id, greatest id) that two different documents hold."""
+def _repeats(every: np.ndarray, busy: int) -> np.ndarray:
+    """Of anchors (key, least id, greatest id, windows): whether two different documents hold one, and whether it has more
+    than busy windows in all."""
     _, number = np.unique(every[0], return_inverse=True)
     low, high = np.full(number.max() + 1, np.iinfo(np.int64).max), np.full(number.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(low, number, every[1])
     np.maximum.at(high, number, every[2])
-    return (low < high)[number]
+    count = np.zeros(len(low), np.int64)
+    np.add.at(count, number, every[3])
+    return np.stack([low < high, count > busy])[:, number]
 
 
 def ranks(word: np.ndarray, size: int) -> list[np.ndarray]:
@@ -199,7 +207,7 @@ def _deep_nodes(bodies: list[bytes], size: int, group: int) -> tuple[list[bytes]
     return [np.packbits(x).tobytes() for x in np.split(out, ends[:-1])], None
 
 
-def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int = 1 << 20, with_text: bool = False, extra: list[str] | None = None) -> DataFrame:
+def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int = 1 << 20, with_text: bool = False, extra: list[str] | None = None, busy: int = BUSY) -> DataFrame:
     """Removes each word that lies in a window of size words whose sequence also starts in a document with a smaller id.
 
     Returns id (long), n_words, n_removed, kept_sha256 (of the kept words joined by one space), n_spans (removed stretches)
@@ -208,7 +216,8 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
     words. Rows that repeat an id are no smaller than each other, so they do not remove each other's words; a row with a
     null id counts as one with the greatest possible id. An empty table gives no rows.
 
-    group bounds the suffixes of one prefix group; prefixes with more grow longer."""
+    group bounds the suffixes of one prefix group; prefixes with more grow longer. busy bounds the windows that one anchor
+    brings to a shard."""
     spark = df.sparkSession
     none = np.iinfo(np.int64).max
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("flag"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(extra or [])])
@@ -217,11 +226,12 @@ def dedup(df: DataFrame, id_col: str, text_col: str, size: int = 50, group: int
     shards = shard_count(spark, chunks.count, CHUNKS_A_SHARD)
 
     def ask_anchors(c: Chunk) -> Iterator[tuple[int, bytes]]:
-        s, keys, low, high, _ = _anchor_rows(c, size)
+        s, keys, low, high, number = _anchor_rows(c, size)
+        count = np.bincount(number, minlength=len(keys))
         for k, mine in runs(shards_of(keys, shards)).items():
-            yield k, np.stack([keys[mine].view(np.int64), low[mine], high[mine]]).tobytes()
+            yield k, np.stack([keys[mine].view(np.int64), low[mine], high[mine], count[mine]]).tobytes()
 
-    again = stored(solve(chunks.send(ask_anchors), lambda bodies: _bit_answer(bodies, 3, _repeats)), "repeats")
+    again = stored(solve(chunks.send(ask_anchors), lambda bodies: _bit_answer(bodies, 4, lambda every: _repeats(every, busy))), "repeats")
     freed(spark)
 
     def ask_suffixes(c: Chunk, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:

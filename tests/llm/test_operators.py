@@ -391,6 +391,22 @@ def test_substring_of_short_windows_and_long_prefixes(spark):
         same(map(tuple, got), brute.dedup(rows, size))
 
 
+def test_substring_of_a_line_that_all_documents_hold(spark, monkeypatch):
+    """Windows that share nothing but a very common line do not meet in one shard; those that are equal do."""
+    r, line = random.Random(12), " ".join(f"line{i}" for i in range(20))
+    some = lambda n: " ".join(str(r.randrange(10**9)) for _ in range(n))
+    rows = [(i, f"{some(45)} {line} {some(45)}") for i in range(600)]
+    rows += [(1000 + i, f"{some(9)} {t}") for i, t in rows[::20]]
+    df, sent, solve = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), [], substring.solve
+    monkeypatch.setattr(substring, "shard_count", lambda *_: 37)
+    monkeypatch.setattr(substring, "solve", lambda rows, answer: sent.append(rows) or solve(rows, answer))
+    got = substring.dedup(df, "doc_id", "text", 50, **({"busy": 300} if hasattr(substring, "BUSY") else {}))
+    same(map(tuple, got.select("id", "n_words", "n_removed", "kept_sha256").collect()), brute.dedup(rows))
+    for rows in sent:
+        load = [x["n"] for x in rows.groupBy("shard").agg(F.sum(F.length("body")).alias("n")).collect()]
+        assert len(load) > 30 and max(load) < 3 * sum(load) / len(load)
+
+
 def test_more_shards_than_shuffle_partitions(spark, docs, monkeypatch):
     learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     cut = lambda: sorted(map(tuple, substring.dedup(docs, "doc_id", "text", 50).collect()))
