@@ -322,6 +322,20 @@ def test_toxicity_skips_texts_that_do_not_fit(spark):
         toxicity.fit(df.where("doc_id >= 1000"), df.select("doc_id", "toxic"), "doc_id", "text", "lang", "toxic", F.lit(True), most_bytes=100_000)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Words of few documents among many more than a driver's sample would hold still count."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["good", "fine", "day", "sun"]) for _ in range(6)) + (f" vile{i % 600:03d}x" if i % 3 == 0 else ""), "en", int(i % 3 == 0)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), "doc_id", "text", "lang", "toxic", F.lit(True))
+    buf, offs = toxicity.flat(pa.array([f"vile{i:03d}x" for i in range(0, 600, 3)]))
+    parts, odds = toxicity.word_rows(buf, offs)[0], np.log((15 + 0.1) / (3000 + 0.2)) - np.log(0.1 / (6000 + 0.2))
+    whole = model.embed[parts[parts[:, 0] > 0, 0], 0]
+    assert len(whole) == 200 and abs(whole * 4 * 19 / 15 - odds).max() < 0.2
+    got = toxicity.toxicity(df, model, "doc_id", "text", "lang").collect()
+    assert all((x["predicted"] == 1) == (x["doc_id"] % 3 == 0) for x in got)
+
+
 def test_toxicity_leaves_out_every_fold_at_any_size(monkeypatch):
     made, train = [], toxicity.train
     monkeypatch.setattr(toxicity, "train", lambda *a: made.append(len(a[0])) or train(["a", "b"], [0, 1]))
