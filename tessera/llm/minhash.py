@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, each_slice, mix, span_hash, stored, windows, words
+from .common import LOWER, U64, each_slice, flat, give_back, mix, span_hash, stored, windows, words
 
 #: Size of the universe (a power of two), bands and rows a band. At a similarity of 0.8 a pair shares no band with
 #: probability (1 - 0.8^5)^28 = 1.5e-5, at 0.85 with 7e-8.
@@ -122,6 +122,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
             yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least)) if b.num_rows else b.select(["a", "b"])
@@ -178,10 +179,14 @@ def spanning(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
         return r.t.select(["key", "node", "n", "root", "block", "i", "j"]).filter(pa.array(keep))
 
     def joined(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        if t.nbytes > 1 << 20:
+            give_back()
         r = Rows(key, t, percent)
+        del t
         count = r.n
         starts = np.concatenate([[0], np.cumsum(count)])
-        shingle = np.unique(np.frombuffer(b"".join(r.t["set"].to_pylist()), U64), return_inverse=True)[1]
+        shingle = np.unique(flat(r.t["set"])[0].view(U64), return_inverse=True)[1].astype(np.int32)
+        r.t = None
         mine = np.zeros(int(shingle.max()) + 1 if len(shingle) else 0, np.int64)
         a, b = [], []
         for x, at in r.candidates():
@@ -227,6 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = left.join(s.withColumnsRenamed({"node": "nb", "set": "sb"}), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             sa, sb = batch.column("sa"), batch.column("sb")
             keep = np.zeros(batch.num_rows, bool)
