@@ -7,6 +7,7 @@ import math
 import random
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -338,6 +339,25 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert all((x["predicted"] == 1) == (x["doc_id"] % 3 == 0) for x in got)
 
 
+def test_toxicity_shuffles_little(spark):
+    """Texts are not shuffled to their labels, and what tasks learnt travels packed."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(400)) + (" vile" if i % 3 == 0 else ""), "en", int(i % 3 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    df.write.parquet(at := new_path(spark, "texts"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(False).apply(0).totalShuffleWrite()
+    df = spark.read.parquet(at)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = written(), spark.conf.get(key, None)
+    model = toxicity.fit(df.drop("toxic"), df.where("doc_id < 300").select("doc_id", "toxic"), "doc_id", "text", "lang", "toxic", F.lit(True))
+    assert model.thresholds and spark.conf.get(key, None) == was
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    time.sleep(1)
+    assert written() - before < 100_000, written() - before
+
+
 def test_toxicity_leaves_out_every_fold_at_any_size(monkeypatch):
     made, train = [], toxicity.train
     monkeypatch.setattr(toxicity, "train", lambda *a: made.append(len(a[0])) or train(["a", "b"], [0, 1]))
